@@ -1,9 +1,10 @@
 """Compression classifier: zstandard dictionaries of good and of bad text.
 
 A text is compressed with a dictionary built from each class.  The difference of
-the two sizes, over the size without a dictionary, goes through a logistic
-calibration (with the plain compression ratio and the length beside it) fitted
-on labelled texts that the dictionaries did not see.
+the two sizes, over the size without a dictionary, is taken for the whole text
+and for its blocks; it goes through a logistic calibration (with the plain
+compression ratio and the length beside it) fitted on labelled texts that the
+dictionaries did not see.
 """
 
 from __future__ import annotations
@@ -47,18 +48,34 @@ class Model:
         return score
 
 
-FEATURES = 3
+BLOCK = 512
+FEATURES = 5
 
 
 def features(text: bytes, tools: list) -> list[float]:
+    """Of the whole text: size difference over plain size, plain ratio, log length.  Of its blocks of
+    BLOCK bytes: the lowest difference, and the share of those below 0."""
     plain, good, bad = (len(t.compress(text)) for t in tools)
-    return [(bad - good) / plain, plain / (len(text) + 16), np.log1p(len(text))]
+    whole = (bad - good) / plain
+    if len(text) <= 2 * BLOCK:
+        parts = [whole]
+    else:
+        parts = [difference(text[i : i + BLOCK], tools) for i in range(0, len(text) - BLOCK // 2, BLOCK)]
+    return [whole, plain / (len(text) + 16), np.log1p(len(text)), min(parts), sum(x < 0 for x in parts) / len(parts)]
+
+
+def difference(text: bytes, tools: list) -> float:
+    plain, good, bad = (len(t.compress(text)) for t in tools)
+    return (bad - good) / plain
 
 
 def expand(x: np.ndarray) -> np.ndarray:
-    d, r, n = x.T
+    d, r, n, low, share = x.T
     n = (n - 7) / 2
-    return np.column_stack([10 * d, r, n, 10 * d * n, 100 * d * d, r * r, n * n, r * n])
+    return np.column_stack([10 * d, r, n, 10 * d * n, 100 * d * d, r * r, n * n, r * n, 10 * low, 10 * low * n, share])
+
+
+TERMS = 11
 
 
 def build(texts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -83,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     """
     texts = sample(docs, labels, label, rows, budget)
     if not texts[0] or not texts[1]:
-        return Model(b"", b"", [0.0] * 8 + [3.0 if texts[1] else -3.0 if texts[0] else 0.0])
+        return Model(b"", b"", [0.0] * TERMS + [3.0 if texts[1] else -3.0 if texts[0] else 0.0])
     model = Model(build(texts[1][::2]), build(texts[0][::2]), [])
     probe = model.scorer()
     x, y = [], []
@@ -92,7 +109,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
         x.append(probe(rest)[0])
         y.append(np.full(len(rest), value))
     x, y = np.concatenate(x), np.concatenate(y)
-    return Model(model.good, model.bad, logistic(expand(x), y).tolist())
+    weights = logistic(expand(x), y)
+    counts = {r[0]: r[1] for r in labels.where(~held_out()).groupBy(label).count().collect()}  # two rows; the sample is balanced, the corpus isn't
+    weights[-1] += np.log(max(counts.get(1, 1), 1) / max(counts.get(0, 1), 1)) - np.log(len(texts[1]) / len(texts[0]))
+    return Model(model.good, model.bad, weights.tolist())
 
 
 def classify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -35,4 +35,11 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition, op2_compression, op3_byte_shards, op4_mix)}
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wedgeworks.llm.toxicity import fit, score_texts
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return score_texts(docs, fit(docs, labels)).select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_repetition, op2_compression, op3_byte_shards, op4_mix, op5_toxicity)}
