@@ -42,4 +42,20 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(docs, fit(docs, labels)).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition, op2_compression, op3_byte_shards, op4_mix, op5_toxicity)}
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wedgeworks.llm.lines import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from wedgeworks.llm.token_files import checksums, new_path, read, write
+
+    path = new_path(spark, "tokens")
+    write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    return checksums(read(spark, path))
+
+
+QUERIES = {f.__name__: f for f in (op1_repetition, op2_compression, op3_byte_shards, op4_mix, op5_toxicity, op8_line_dedup, op9_token_files)}
