@@ -58,4 +58,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checksums(read(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition, op2_compression, op3_byte_shards, op4_mix, op5_toxicity, op8_line_dedup, op9_token_files)}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wedgeworks.llm.ngram_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_repetition, op2_compression, op3_byte_shards, op4_mix, op5_toxicity, op8_line_dedup, op9_token_files, op10_ngram_join)}
