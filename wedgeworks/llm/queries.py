@@ -64,4 +64,23 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition, op2_compression, op3_byte_shards, op4_mix, op5_toxicity, op8_line_dedup, op9_token_files, op10_ngram_join)}
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wedgeworks.llm.decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_repetition,
+        op2_compression,
+        op3_byte_shards,
+        op4_mix,
+        op5_toxicity,
+        op6_decontamination,
+        op8_line_dedup,
+        op9_token_files,
+        op10_ngram_join,
+    )
+}
