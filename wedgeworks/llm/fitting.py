@@ -23,11 +23,12 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, budget: in
     """
     marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).groupBy(key).agg(F.max(label).alias("_label"))
     own = docs.where(F.col(text).isNotNull()).select(F.col(key), F.col(text).alias("_text"))
+    lengths = own.select(F.col(key), F.octet_length("_text").alias("_n"))  # texts stay out of the join
     out: dict[int, list[bytes]] = {}
     for value in (0, 1):
-        chosen = marked.where(F.col("_label") == value).join(own, key)
+        chosen = marked.where(F.col("_label") == value).join(lengths, key)
         order = F.xxhash64(F.col(key).cast("string"), F.lit(label))
-        sizes = chosen.select(F.col(key), F.octet_length("_text").alias("_n"), order.alias("_h")).orderBy("_h", key, "_n").limit(rows).collect()
+        sizes = chosen.select(F.col(key), "_n", order.alias("_h")).orderBy("_h", key, "_n").limit(rows).collect()
         kept, left = set(), budget
         for row in sizes:
             if row["_n"] <= left:
