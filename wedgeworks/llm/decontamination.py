@@ -1,8 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming lookup, exact check.
 
-Items fall into size classes (a geometric ladder).  An item is known by the
-fingerprints of its own windows of its class's size, one for each offset below the
-stride, so that windows taken at every stride-th word of a document meet one of
+Items fall into size classes (a geometric ladder of window sizes).  An item is known
+by the fingerprints of its own windows of its class's size, one for each offset below
+the stride, so that windows taken at every stride-th word of a document meet one of
 them whatever the passage's position.  64-bit fingerprints are indexed by four
 16-bit blocks, each entered under every value within RADIUS // 4 bits: any
 fingerprint within RADIUS has such a block.  Candidates are verified by the exact
@@ -12,7 +12,7 @@ share of the item's weighted word shingles found in the item-sized span.
 from __future__ import annotations
 
 from collections import Counter
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +22,15 @@ from pyspark.sql import functions as F
 
 SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS = 11, 4
-STRIDE, LADDER = 4, 1.25
+#: Words between windows; window sizes are multiples of it, each about LADDER times the one before.
+STRIDE, LADDER = 4, 1.5
 #: Bytes of item text that one pass over the documents carries to the executors.
 PASS_BYTES = 16 << 20
 MAX_WEIGHT = 7
-#: Words of a document that are fingerprinted at a time.
-STEP = 1 << 14
+#: Words that are fingerprinted at a time.
+STEP = 1 << 15
+#: Words whose signs a worker keeps.
+MEMO = 200_000
 
 #: ASCII letters and digits stay, lower-cased; other ASCII separates words; bytes above 127 stay.
 FOLD = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else b if b > 127 else 32 for b in range(256))
@@ -37,43 +40,52 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
-def ladder(most: int) -> int:
-    """Largest size of the ladder up to ``most``."""
-    size = 1
-    while (larger := max(size + 1, int(size * LADDER))) <= most:
-        size = larger
-    return size
-
-
 def size_class(m: int) -> tuple[int, int]:
-    """(window size, stride) for items of m words."""
-    return (ladder(m - STRIDE + 1), STRIDE) if m >= 4 * STRIDE else (ladder(m), 1)
+    """(window size, stride) for items of m words: the largest step of the ladder that leaves room for
+    every offset below the stride; short items are compared whole, at every word."""
+    if m < 3 * STRIDE - 1:
+        return m, 1
+    steps = 2
+    while (larger := max(steps + 1, int(steps * LADDER))) * STRIDE + STRIDE - 1 <= m:
+        steps = larger
+    return steps * STRIDE, STRIDE
 
 
-class _Signs(dict):
-    """Word -> its 64 signed weights."""
+class Signs:
+    """Words -> rows of 64 signed weights."""
 
     def __init__(self, weights: dict[bytes, int]):
-        super().__init__()
         self.weights = weights
-
-    def __missing__(self, word):
-        bits = np.unpackbits(np.frombuffer(xxhash.xxh3_64_digest(word), np.uint8))
-        row = (bits.astype(np.int16) * 2 - 1) * self.weights.get(word, MAX_WEIGHT)
-        if len(self) < 200_000:
-            self[word] = row
-        return row
-
-
-def fingerprints(signs: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of the windows of ``size`` words that begin at ``starts``; ``signs`` are prefix sums."""
-    return np.packbits(signs[starts + size] > signs[starts], axis=1).view(">u8").ravel().astype(np.uint64)
-
-
-def prefix_sums(words: list[bytes], table: _Signs) -> np.ndarray:
-    out = np.zeros((len(words) + 1, 64), np.int32)
-    np.cumsum(np.array([table[w] for w in words], np.int16), axis=0, dtype=np.int32, out=out[1:])
-    return out
+        self.row: dict[bytes, int] = {}
+        self.rows = np.zeros((0, 64), np.int8)
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        row = self.row
+        new = [w for w in dict.fromkeys(words) if w not in row]
+        if len(row) + len(new) > MEMO:
+            row.clear()
+            self.rows = self.rows[:0]
+            new = list(dict.fromkeys(words))
+        if new:
+            bits = np.unpackbits(np.array(list(map(xxhash.xxh3_64_intdigest, new)), ">u8").view(np.uint8)).reshape(-1, 64)
+            weight = np.array([self.weights.get(w, MAX_WEIGHT) for w in new], np.int8)
+            row.update(zip(new, range(len(row), len(row) + len(new)), strict=True))
+            self.rows = np.concatenate([self.rows, (bits.view(np.int8) * 2 - 1) * weight[:, None]])
+        return self.rows[np.fromiter(map(row.__getitem__, words), np.int64, len(words))]
+
+
+def fingerprints(signs: np.ndarray, size: int, stride: int) -> np.ndarray:
+    """SimHash of the windows of ``size`` words that begin at every ``stride``-th word."""
+    steps = len(signs) // stride
+    sums = np.zeros((steps + 1, 64), np.int32)
+    part = signs[: steps * stride].reshape(steps, stride, 64)
+    np.cumsum(part.sum(1, dtype=np.int32) if stride > 1 else part[:, 0], axis=0, out=sums[1:])
+    return _packed(sums, size // stride)
+
+
+def _packed(sums: np.ndarray, ahead: int) -> np.ndarray:
+    """Fingerprints of windows ``ahead`` steps long, from prefix sums."""
+    return np.packbits(sums[ahead:] > sums[:-ahead], axis=1).view(">u8").ravel().astype(np.uint64) if len(sums) > ahead else np.zeros(0, np.uint64)
 
 
 class Index:
@@ -88,15 +100,14 @@ class Index:
         # a shingle that many items share says less about each of them
         self.share = [{s: c / held[s] for s, c in x.items()} for x in self.shingles]
         self.total = [sum(x.values()) for x in self.share]
-        table = _Signs(self.weights)
+        table = Signs(self.weights)
         grouped: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for i, ws in enumerate(self.words):
             if ws:
                 size, stride = size_class(len(ws))
-                sums = prefix_sums(ws, table)
-                offsets = np.arange(min(stride, len(ws) - size + 1))
-                for o, f in zip(offsets, fingerprints(sums, offsets, size), strict=True):
-                    grouped.setdefault((size, stride), []).append((int(f), i, int(o)))
+                signs = table(ws)
+                for o in range(stride):
+                    grouped.setdefault((size, stride), []).append((int(fingerprints(signs[o : o + size], size, size)[0]), i, o))
         self.classes = {k: self._tables(v) for k, v in sorted(grouped.items())}
 
     @staticmethod
@@ -132,31 +143,39 @@ class Index:
             return (np.zeros(0, np.int64),) * 3
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def matches(self, text: bytes, table: _Signs) -> dict[int, tuple[float, int, int]]:
-        """By item: best (similarity, first word, distance) of the passages that reach SIMILARITY."""
-        words = words_of(text)
-        best: dict[int, tuple[float, int, int]] = {}
-        seen: set[tuple[int, int]] = set()
-        largest = max((size for size, _ in self.classes), default=0)
+    def matches(self, texts: list[bytes], table: Signs) -> list[dict[int, tuple[float, int, int]]]:
+        """For each text, by item: best (similarity, first word, distance) of the passages that reach SIMILARITY."""
+        split = [words_of(t) for t in texts]
+        out: list[dict[int, tuple[float, int, int]]] = [{} for _ in texts]
+        seen: set[tuple[int, int, int]] = set()
+        overlap = max((size for size, _ in self.classes), default=0)
+        overlap += -overlap % STRIDE
+        words = list(chain.from_iterable(split))
+        edges = np.cumsum([0, *map(len, split)])
         for begin in range(0, len(words), STEP):
-            part = words[begin : begin + STEP + largest]
-            sums = prefix_sums(part, table)
-            for (size, stride), (_, items, offsets, _) in self.classes.items():
-                last = min(len(part) - size, STEP - 1)
-                if last < 0:
-                    continue
-                starts = np.arange(0, last + 1, stride)
-                window, entry, distance = self.near((size, stride), fingerprints(sums, starts, size))
-                for w, e, d in zip(window.tolist(), entry.tolist(), distance.tolist(), strict=True):
-                    item = int(items[e])
-                    at = begin + int(starts[w]) - int(offsets[e])
-                    if (item, at) in seen:
+            signs = table(words[begin : begin + STEP + overlap])
+            sums = {}
+            for size, stride in self.classes:
+                if stride not in sums:
+                    steps = len(signs) // stride
+                    part = signs[: steps * stride].reshape(steps, stride, 64)
+                    sums[stride] = np.zeros((steps + 1, 64), np.int32)
+                    np.cumsum(part.sum(1, dtype=np.int32) if stride > 1 else part[:, 0], axis=0, out=sums[stride][1:])
+                window, entry, distance = self.near((size, stride), _packed(sums[stride], size // stride))
+                start = begin + window * stride
+                text = np.searchsorted(edges, start, side="right") - 1
+                inside = start + size <= edges[text + 1]
+                _, items, offsets, _ = self.classes[size, stride]
+                order = np.argsort(distance[inside], kind="stable")
+                rows = (x[inside][order].tolist() for x in (text, items[entry], start - offsets[entry] - edges[text], distance))
+                for t, item, at, d in zip(*rows, strict=True):
+                    if (t, item, at) in seen:
                         continue
-                    seen.add((item, at))
-                    s = self.similarity(item, words, at)
-                    if s >= SIMILARITY and (s, -at) > (best.get(item, (0, 0))[0], -best.get(item, (0, 0))[1]):
-                        best[item] = (s, max(at, 0), d)
-        return best
+                    seen.add((t, item, at))
+                    s = self.similarity(item, split[t], at)
+                    if s >= SIMILARITY and (s, -d, -at) > (lambda b: (b[0], -b[2], -b[1]))(out[t].get(item, (0.0, 0, 99))):
+                        out[t][item] = (s, max(at, 0), d)
+        return out
 
     def similarity(self, item: int, words: list[bytes], at: int) -> float:
         """Weighted share of the item's shingles found in the item-sized span at ``at``, give or take a stride."""
@@ -175,7 +194,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
     Words are compared with A-Z lower-cased and other ASCII than letters and digits as separators.
     An item is found where at least SIMILARITY of its weighted 5-word shingles (fewer words: the
-    whole item) lie in a span of its size; the best span is returned, the first of equal ones.
+    whole item) lie in a span of its size; the best span is returned, the nearest fingerprint, then the
+    first, of equal ones.
 
     Null or empty texts and items match nothing.  Null or repeated doc_ids pass through: each row
     has its own matches.  Repeated item_ids are items of their own, and one row each.  Empty tables:
@@ -195,13 +215,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
         def run(parts, carried=carried):
             index = carried.value
-            table = _Signs(index.weights)
+            table = Signs(index.weights)
             for part in parts:
                 at, found = [], []
-                for i, t in enumerate(part.column(1).to_pylist()):
-                    for item, (s, first, distance) in sorted(index.matches(t, table).items()):
-                        at.append(i)
-                        found.append((index.ids[item], s, first, distance))
+                for j in range(0, part.num_rows, 64):
+                    for i, matched in enumerate(index.matches(part.column(1).slice(j, 64).to_pylist(), table), j):
+                        for item, (s, first, distance) in sorted(matched.items()):
+                            at.append(i)
+                            found.append((index.ids[item], s, first, distance))
                 item, s, first, distance = zip(*found, strict=True) if found else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(item, pa.string() if item_kind == "string" else pa.int64()), pa.array(s, pa.float64()), pa.array(first, pa.int32()), pa.array(distance, pa.int32())], ["doc_id", "item_id", "similarity", "first_word", "distance"])
 

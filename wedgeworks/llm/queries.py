@@ -42,6 +42,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(docs, fit(docs, labels)).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wedgeworks.llm.substrings import removed_strings
+
+    return removed_strings(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wedgeworks.llm.lines import deduplicated
 
@@ -79,6 +85,7 @@ QUERIES = {
         op4_mix,
         op5_toxicity,
         op6_decontamination,
+        op7_suffix_dedup,
         op8_line_dedup,
         op9_token_files,
         op10_ngram_join,
