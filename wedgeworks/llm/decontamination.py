@@ -204,27 +204,56 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     """
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, similarity double, first_word int, distance int"
-    items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_key).alias("item_id"), F.col(item_text).cast("binary").alias("_text"))
-    passes = -(-(items.agg(F.sum(F.octet_length("_text"))).first()[0] or 0) // PASS_BYTES)
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("_text"))
     out = docs.sparkSession.createDataFrame([], schema)
-    for k in range(passes):
-        chosen = items.where(F.pmod(F.xxhash64("_text"), F.lit(passes)) == k).collect()  # about PASS_BYTES
-        index = Index(sorted(((r["item_id"], bytes(r["_text"])) for r in chosen), key=lambda x: (str(x[0]), x[1])))
-        carried = docs.sparkSession.sparkContext.broadcast(index)
+    for k, carried in enumerate(_indexes(benchmark, item_key, item_text)):
 
         def run(parts, carried=carried):
             index = carried.value
             table = Signs(index.weights)
             for part in parts:
                 at, found = [], []
-                for j in range(0, part.num_rows, 64):
-                    for i, matched in enumerate(index.matches(part.column(1).slice(j, 64).to_pylist(), table), j):
-                        for item, (s, first, distance) in sorted(matched.items()):
-                            at.append(i)
-                            found.append((index.ids[item], s, first, distance))
+                for i, matched in enumerate(_matched(index, table, part.column(1).to_pylist())):
+                    for item, (s, first, distance) in sorted(matched.items()):
+                        at.append(i)
+                        found.append((index.ids[item], s, first, distance))
                 item, s, first, distance = zip(*found, strict=True) if found else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(item, pa.string() if item_kind == "string" else pa.int64()), pa.array(s, pa.float64()), pa.array(first, pa.int32()), pa.array(distance, pa.int32())], ["doc_id", "item_id", "similarity", "first_word", "distance"])
 
         out = out.unionByName(rows.mapInArrow(run, schema)) if k else rows.mapInArrow(run, schema)
     return out
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, in which no benchmark item is found (see ``contaminated``).
+
+    Null or empty texts stay.  Rows are judged one by one: null or repeated keys don't matter.
+    Nothing is shuffled.
+    """
+    at = docs.columns.index(text)
+    for carried in _indexes(benchmark, item_key, item_text):
+
+        def run(parts, carried=carried):
+            index = carried.value
+            table = Signs(index.weights)
+            for part in parts:
+                texts = [(t or "").encode() for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array([not m for m in _matched(index, table, texts)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
+def _indexes(benchmark: DataFrame, item_key: str, item_text: str):
+    """Broadcast indexes of the items, about PASS_BYTES of item text in each."""
+    items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_key).alias("item_id"), F.col(item_text).cast("binary").alias("_text"))
+    passes = -(-(items.agg(F.sum(F.octet_length("_text"))).first()[0] or 0) // PASS_BYTES)
+    for k in range(passes):
+        chosen = items.where(F.pmod(F.xxhash64("_text"), F.lit(passes)) == k).collect()
+        index = Index(sorted(((r["item_id"], bytes(r["_text"])) for r in chosen), key=lambda x: (str(x[0]), x[1])))
+        yield benchmark.sparkSession.sparkContext.broadcast(index)
+
+
+def _matched(index: Index, table: Signs, texts: list[bytes]):
+    for j in range(0, len(texts), 64):
+        yield from index.matches(texts[j : j + 64], table)

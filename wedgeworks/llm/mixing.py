@@ -139,3 +139,22 @@ def mix(docs: DataFrame, seats: int = SEATS, shard_seats: int = SHARD_SEATS, see
     documents = at.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
     listed = sources.join(seats_of, ["_null", "_source"], "left").select(shown, "weight", "source_size", "target", F.coalesce("seats", F.lit(0)).alias("seats"))
     return Mix(documents, listed, schedule.select("shard", "seat", shown, "block", "lap"))
+
+
+def mixed(docs: DataFrame, seed: str = SEED, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes its words.
+
+    taken / size is rounded up with the probability of its fraction, decided by a hash of the row's
+    key, text and source, so that whole documents make up each source's target.  No row comes more than
+    3 times; rows without words come once, as they cost nothing.  Rows alike in key, source and
+    size share their taken words evenly.  Null keys and sources are values like others.
+    """
+    per = mix(docs.select(key, text, source), seed=seed, key=key, text=text, source=source).documents
+    per = per.groupBy("doc_id", "source", "size").agg((F.sum("taken") / F.count("*")).alias("_taken"))
+    per = per.select(F.col("doc_id").alias("_k"), F.col("source").alias("_s"), F.col("size").alias("_n"), "_taken")
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    on = F.col(key).eqNullSafe(F.col("_k")) & F.col(source).eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n"))
+    joined = docs.withColumn("_size", size).join(per, on)
+    chance = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(text), F.col(source)), F.lit(1 << 20)) / (1 << 20)
+    copies = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.floor(F.col("_taken") / F.col("_size") + chance)).cast("int")
+    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*(F.col(f"`{c}`") for c in docs.columns))

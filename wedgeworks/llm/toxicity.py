@@ -204,3 +204,22 @@ def score_texts(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32)), spans], ["doc_id", "held_out", "score", "predicted", "passages"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int, passages array<struct<first:int,last:int,nats:double>>")
+
+
+def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores below ``threshold``.
+
+    Null or empty text scores the calibration's lowest.  Rows are judged one by one: null or repeated
+    keys don't matter.  Nothing is shuffled.
+    """
+    at = docs.columns.index(text)
+
+    def run(parts):
+        weights, lookup = np.array(model.weights), _Scores(model.scores)
+        for part in parts:
+            texts = ((t or "").encode() for t in part.column(at).to_pylist())
+            x = np.array([features(scan(t, lookup), model)[0] for t in texts]).reshape(-1, FEATURES)
+            p = 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ weights, -35, 35)))
+            yield part.filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
