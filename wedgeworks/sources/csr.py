@@ -107,27 +107,36 @@ def read_csr(spark: SparkSession, path: str, width: int = 64, parts: int = 8, ba
 
 
 def write_csr(symmetric: DataFrame, nv: int, path: str, width: int = 64) -> None:
-    """Write a symmetric edge table as one file, streamed through the driver in sorted order."""
+    """Write a symmetric edge table as one file, streamed through the driver in sorted order.
+
+    Executors pack sorted rows into the file's binary form; the driver holds one partition's bytes at a time.
+    """
     index, entry = TYPES[width]
     if "weight" not in symmetric.columns:
         symmetric = symmetric.withColumn("weight", F.lit(1.0))
+    symmetric = symmetric.persist()
     total = symmetric.count()
+    offsets = csr_offsets(symmetric, nv).orderBy("id").select("offset")
     system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
     with system.open_output_stream(inner) as out:
         out.write(np.array([nv, total], index).tobytes())
-        for rows in _chunks(csr_offsets(symmetric, nv).orderBy("id").select("offset")):
-            out.write(np.array([r[0] for r in rows], index).tobytes())
+        for row in offsets.mapInArrow(_packed(index), "b binary").toLocalIterator():
+            out.write(bytes(row[0]))
         out.write(np.array([total], index).tobytes())
-        for rows in _chunks(symmetric.orderBy("head", "tail").select("tail", "weight")):
-            out.write(np.array([tuple(r) for r in rows], entry).tobytes())
-
-
-def _chunks(df: DataFrame, size: int = 1 << 16):
-    held = []
-    for row in df.toLocalIterator(prefetchPartitions=True):
-        held.append(row)
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held
+        for row in symmetric.orderBy("head", "tail").select("tail", "weight").mapInArrow(_packed(entry), "b binary").toLocalIterator():
+            out.write(bytes(row[0]))
+    symmetric.unpersist()
+
+
+def _packed(kind: np.dtype):
+    def run(parts):
+        for part in parts:
+            rows = np.zeros(part.num_rows, kind)
+            if kind.names:
+                for i, name in enumerate(kind.names):
+                    rows[name] = part.column(i).to_numpy()
+            else:
+                rows[:] = part.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array([rows.tobytes()], pa.binary())], ["b"])
+
+    return run
