@@ -149,6 +149,20 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return materialise(both.mapInArrow(_verify(n, percent), f"a {kind}, b {kind}").distinct())
 
 
+def plausible(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose prefixes share as many tokens as the threshold demands; no linked pair goes.
+
+    Sets of n and m tokens that link have t = percent (n + m) / (100 + percent) in common.  A set's prefix
+    lacks at most n - t of these, and common tokens come in one order, so the two prefixes share the
+    lesser of what each has left.
+    """
+    side = lambda x: prefixes.select(F.col("doc_id").alias(x), F.col("size").alias(f"_n{x}"), F.col("prefix").alias(f"_p{x}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    common = F.expr(f"({percent}L * (_na + _nb) + {percent + 99}L) div {100 + percent}L")
+    least = F.least(*(F.size(f"_p{x}") - F.col(f"_n{x}") + common for x in "ab"))
+    return both.where(F.size(F.array_intersect("_pa", "_pb")) >= least).select("a", "b")
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, classes: int = CLASSES, rare: int = RARE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
@@ -181,7 +195,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, classes:
     first = entry.select("node", "n", center).where(F.col("node") != F.col("_c.node")).where(near(F.col("n"), F.col("_c.n")))
     first = first.groupBy(F.col("node").alias("b"), F.col("_c.node").alias("a")).agg(F.count("*").alias("_shared")).where(F.col("_shared") > classes // 2)
     first = materialise(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = verified(first, texts, n, percent)
+    links = verified(plausible(first, sets, percent), texts, n, percent)
     group = components(links)
 
     known = entry.select("token", "held", "node", "n").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -195,7 +209,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, classes:
     right = index.select("s1", "s2", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("_other"))
     second = index.join(right, ["s1", "s2"]).where((F.col("node") < F.col("b")) & (F.col("component") != F.col("_other"))).where(near(F.col("n"), F.col("m")))
     second = second.select(F.col("node").alias("a"), "b").distinct().join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(verified(second, texts, n, percent)).unionByName(member)
+    links = links.unionByName(verified(plausible(second, sets, percent), texts, n, percent)).unionByName(member)
     final = components(links).select(F.col("node").alias("_n"), "component")
     return sets.join(final, sets["doc_id"] == final["_n"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
