@@ -87,5 +87,12 @@ def global_prefix(
     )
 
 
+def pieces(parts, rows: int = 256):
+    """Arrow batches cut into small ones, so that a worker holds few texts as objects at a time."""
+    for part in parts:
+        for at in range(0, part.num_rows, rows):
+            yield part.slice(at, rows)
+
+
 def batches(tables: list[pa.Array], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(tables, names)

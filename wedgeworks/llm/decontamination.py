@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wedgeworks.llm.common import pieces
+
 SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS = 11, 4
 #: Words between windows; window sizes are multiples of it, each about LADDER times the one before.
@@ -236,7 +238,7 @@ def without_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         def run(parts, carried=carried):
             index = carried.value
             table = Signs(index.weights)
-            for part in parts:
+            for part in pieces(parts):
                 texts = [(t or "").encode() for t in part.column(at).to_pylist()]
                 yield part.filter(pa.array([not m for m in _matched(index, table, texts)], pa.bool_()))
 

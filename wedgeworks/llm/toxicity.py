@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wedgeworks.llm.common import pieces
 from wedgeworks.llm.fitting import held_out, logistic, sample
 
 #: Bounds of the fitting sample: labelled documents a class, and bytes of text a class.
@@ -216,7 +217,7 @@ def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold:
 
     def run(parts):
         weights, lookup = np.array(model.weights), _Scores(model.scores)
-        for part in parts:
+        for part in pieces(parts):
             texts = ((t or "").encode() for t in part.column(at).to_pylist())
             x = np.array([features(scan(t, lookup), model)[0] for t in texts]).reshape(-1, FEATURES)
             p = 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ weights, -35, 35)))
