@@ -7,20 +7,21 @@ looks the control bytes up in a table and needs no loop over ids.
 
 A set of files is a Parquet folder, written by Spark (any store, committed by
 task, so lost executors do no harm), in ascending order of document: doc_id,
-start, n_tokens, control, data; beside it ``ranks``, the ids in order of rank.
+part, start (in its part), n_tokens, control, data; beside it ``parts``, the first
+id of each part, and ``ranks``, the ids in order of rank.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wedgeworks.llm.common import checkpoint_dir, global_prefix, materialise, shuffle_partitions
+from wedgeworks.llm.common import checkpoint_dir, pieces, shuffle_partitions
 
 END = 2
 #: Words kept in a worker's memory with their ids.
@@ -52,12 +53,17 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
+#: White space before more white space that ends the text or goes on.
+RUN = re.compile(r"[\s\u180e]{2}(?:[\s\u180e]|\Z)")
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers, by the tokenizers library.
 
-    A byte-level tokenizer cuts a text before each single space that precedes a word, so the ids of
-    such pieces, kept in memory, make up those of the text.  Where a space precedes other white
-    space or the end, the whole text goes to the library.
+    A byte-level tokenizer cuts a text before each space or newline that precedes a word, and between
+    two characters of white space before a word.  So the ids of the pieces from one space or newline to
+    the next, kept in memory, make up those of the text.  A text with a longer run of white space, or with
+    two such characters at its end, goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -66,42 +72,42 @@ class Encoder:
         self.tool = Tokenizer.from_file(path)
         # the strings of special tokens are ordinary text
         self.tool.encode_special_tokens = True
+        #: By piece: one that begins with a newline stands for itself, any other for a space and itself.
         self.kept: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        for text in texts:
-            pieces = text.split(" ")
-            if any(not p or p[0].isspace() for p in pieces[1:]):
-                cut.append(None)
-                continue
-            cut.append([pieces[0], *map(" ".__add__, pieces[1:])] if pieces[0] else [*map(" ".__add__, pieces[1:])])
-        kept = self.kept
-        missing = [p for p in set(chain.from_iterable(c for c in cut if c)) if p not in kept]
+    def _fill(self, kept: dict[str, bytes], pieces: set[str], whole) -> None:
+        missing = pieces.difference(kept)
         if len(kept) + len(missing) > MEMO:
             kept.clear()
-            missing = list(set(chain.from_iterable(c for c in cut if c)))
-        for i in range(0, len(missing), 20_000):
-            kept.update(zip(missing[i : i + 20_000], self._ids(missing[i : i + 20_000]), strict=True))
+            missing = pieces
+        some = list(missing)
+        for i in range(0, len(some), 20_000):
+            kept.update(zip(some[i : i + 20_000], self._ids([whole(p) for p in some[i : i + 20_000]]), strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        cut = [None if RUN.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        heads = [c.pop(0) if c else "" for c in cut]
+        self._fill(self.kept, set().union(*filter(None, cut)), lambda p: p if p[:1] == "\n" else " " + p)
+        self._fill(self.heads, set(heads), str)
+        kept = self.kept.__getitem__
         whole = iter(self._ids([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        return [next(whole) if c is None else b"".join(map(kept.__getitem__, c)) for c in cut]
+        return [next(whole) if c is None else self.heads[h] + b"".join(map(kept, c)) for h, c in zip(heads, cut, strict=True)]
 
 
 def _tokenize(path: str):
     def run(parts):
         encode = Encoder(path)
-        for part in parts:
-            for i in range(0, part.num_rows, 256):
-                some = part.slice(i, 256)
-                ids = [np.frombuffer(x + END.to_bytes(4, "little"), "<u4") for x in encode(some.column("_text").to_pylist())]
-                coded = [encode_ranks(x) for x in ids]  # by plain id for now; the ranks come with the counts
-                yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), some.column("_tie"), pa.array([len(x) for x in ids], pa.int64()), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())],
-                    ["doc_id", "_tie", "n_tokens", "control", "data"],
-                )
+        for some in pieces(parts):
+            ids = [np.frombuffer(x + END.to_bytes(4, "little"), "<u4") for x in encode(some.column("_text").to_pylist())]
+            coded = [encode_ranks(x) for x in ids]  # by plain id for now; the ranks come with the counts
+            yield pa.RecordBatch.from_arrays(
+                [some.column("doc_id"), some.column("_tie"), pa.array([len(x) for x in ids], pa.int64()), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())],
+                ["doc_id", "_tie", "n_tokens", "control", "data"],
+            )
 
     return run
 
@@ -127,11 +133,16 @@ def write(docs: DataFrame, tokenizer: str, path: str, key: str = "doc_id", text:
     key: first in order.  Repeated keys: one entry per row, ties by a hash of the text.  Empty
     table: an empty set.  Other columns are ignored.  The rank table has one row per id in use,
     so it is bounded by the vocabulary; only it is sent to all executors.
+
+    Ids are exchanged once, by range of key; a block's start counts from its part's first id.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_tie"))
-    coded = materialise(rows.mapInArrow(_tokenize(tokenizer), f"doc_id {kind}, _tie long, n_tokens long, control binary, data binary"))
+    coded = rows.mapInArrow(_tokenize(tokenizer), f"doc_id {kind}, _tie long, n_tokens long, control binary, data binary")
+    # a number of the row tells apart rows alike in key and text, so that many of them spread over parts
+    coded.withColumn("_row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(f"{path}/plain")
+    coded = spark.read.parquet(f"{path}/plain")
     counts = coded.select("n_tokens", "control", "data").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     order = [r["id"] for r in sorted(counts.collect(), key=lambda r: (-r["n"], r["id"]))]  # one row per id of the vocabulary
     by_rank = np.array(order, np.int64)
@@ -140,23 +151,28 @@ def write(docs: DataFrame, tokenizer: str, path: str, key: str = "doc_id", text:
     ranks = spark.sparkContext.broadcast(rank.tobytes())
 
     def recode(parts):
-        table = np.frombuffer(ranks.value, "<u4")
-        for part in parts:
+        table, at = np.frombuffer(ranks.value, "<u4"), 0
+        for part in pieces(parts):
             n = part.column("n_tokens").to_pylist()
             new = [encode_ranks(table[decode_ranks(c, d, k)]) for k, c, d in zip(n, part.column("control").to_pylist(), part.column("data").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("start"), part.column("n_tokens"), pa.array([c for c, _ in new], pa.binary()), pa.array([d for _, d in new], pa.binary())], ["doc_id", "start", "n_tokens", "control", "data"])
-
-    at = global_prefix(coded.select("doc_id", "_tie", "n_tokens"), ["doc_id", "_tie", "n_tokens"], {"start": "n_tokens"})
-    # rows of one key and text have one entry each, so equal ones are numbered before they meet
-    from pyspark.sql import Window
-
-    same = Window.partitionBy("doc_id", "_tie")
-    left = coded.withColumn("_i", F.row_number().over(same.orderBy("n_tokens")))
-    right = at.select(F.col("doc_id").alias("_d"), F.col("_tie").alias("_t"), "start", F.row_number().over(Window.partitionBy("doc_id", "_tie").orderBy("start")).alias("_j"))
-    joined = left.join(right, left["doc_id"].eqNullSafe(right["_d"]) & (left["_tie"] == right["_t"]) & (left["_i"] == right["_j"]))
-    placed = joined.select("doc_id", "start", "n_tokens", "control", "data").repartitionByRange(shuffle_partitions(spark), "start").sortWithinPartitions("start")
-    placed.mapInArrow(recode, f"doc_id {kind}, start long, n_tokens long, control binary, data binary").write.mode("overwrite").option("compression", "none").parquet(f"{path}/blocks")
+            start = np.cumsum([at, *n])
+            at = int(start[-1])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("part"), pa.array(start[:-1]), pa.array(n, pa.int64()), pa.array([c for c, _ in new], pa.binary()), pa.array([d for _, d in new], pa.binary())], ["doc_id", "part", "start", "n_tokens", "control", "data"])
+
+    placed = coded.repartitionByRange(shuffle_partitions(spark), "doc_id", "_tie", "n_tokens", "_row").sortWithinPartitions("doc_id", "_tie", "n_tokens", "_row")
+    placed = placed.select("doc_id", F.spark_partition_id().alias("part"), "n_tokens", "control", "data")
+    placed.mapInArrow(recode, f"doc_id {kind}, part int, start long, n_tokens long, control binary, data binary").write.mode("overwrite").option("compression", "none").parquet(f"{path}/blocks")
+    parts = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")).coalesce(1).write.mode("overwrite").parquet(f"{path}/parts")  # a row per part
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(order)], "rank long, id long").coalesce(1).write.mode("overwrite").parquet(f"{path}/ranks")
+    drop(spark, f"{path}/plain")
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store that Spark writes to."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -165,12 +181,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     ids = spark.sparkContext.broadcast(np.array(order, "<u4").tobytes())
     blocks = spark.read.parquet(f"{path}/blocks")
     kind = blocks.schema["doc_id"].dataType.simpleString()
+    firsts = {r["part"]: r["first"] for r in spark.read.parquet(f"{path}/parts").collect()}  # a row per part of the files
 
     def run(parts):
         table = np.frombuffer(ids.value, "<u4")
-        for part in parts:
+        for part in pieces(parts):
             got = [table[decode_ranks(c, d, n)].tobytes() for n, c, d in zip(*(part.column(x).to_pylist() for x in ("n_tokens", "control", "data")), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("start"), part.column("n_tokens"), pa.array(got, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+            start = [firsts[p] + s for p, s in zip(part.column("part").to_pylist(), part.column("start").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(start, pa.int64()), part.column("n_tokens"), pa.array(got, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     return blocks.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids binary")
 
