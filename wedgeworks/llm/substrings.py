@@ -27,7 +27,7 @@ from wedgeworks.llm.suffixes import Hashes, equal_classes, sort_within
 
 LENGTH, PIECE = 50, 20
 #: Bytes of text in a bucket, and in the buffer that is hashed at a time.
-BUCKET_BYTES, BUFFER_BYTES = 2 << 20, 4 << 20
+BUCKET_BYTES, BUFFER_BYTES = 2 << 20, 1 << 19
 #: Bytes of an anchor's hash in the first exchange; hashes that collide there only send more to the second.
 SHORT = 5
 NULL = -(1 << 63)
