@@ -22,8 +22,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of linked ones."""
-    return without_copies(docs)
+    """Keep one document of each group of linked ones: five-word shingles, 80 percent of the union in common."""
+    return without_copies(docs, n=5, percent=80, classes=3)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

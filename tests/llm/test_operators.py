@@ -150,6 +150,21 @@ def test_ngram_join(docs, rows):
     assert kept == {d for d, (_, c) in want.items() if c == d}
 
 
+def test_near_duplicates_stage(spark, docs, rows):
+    import corpus_pipeline as P
+
+    edited, next_id = [], 1000
+    for i in (11, 15, 19):  # 100 words of prose; two words changed leave 0.87 of the 5-word and 0.88 of the 3-word shingles
+        words = rows[i][1].split()[:100]
+        for at in ((), (30, 70), (25, 60, 61)):
+            edited.append((next_id, " ".join(f"new{j}" if j in at else w for j, w in enumerate(words)), *rows[i][2:]))
+            next_id += 1
+    every = [*rows, *edited]
+    want, narrow = brute_groups(every, 5, 80), brute_groups(every)
+    kept = {r["doc_id"] for r in P.near_duplicates(spark, spark.createDataFrame(every, docs.schema), "").collect()}
+    assert kept == {d for d, (_, c) in want.items() if c == d} < {d for d, (_, c) in narrow.items() if c == d}
+
+
 def test_decontamination(spark, docs, rows):
     texts = {d: t or "" for d, t, *_ in rows}
     passage = " ".join(texts[11].split()[20:80])

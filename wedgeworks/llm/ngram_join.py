@@ -214,12 +214,12 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, classes:
     return sets.join(final, sets["doc_id"] == final["_n"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def without_copies(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
+def without_copies(docs: DataFrame, n: int = 3, percent: int = 90, classes: int = CLASSES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, of one document of each group: the one with the smallest key.
 
     Rows with a null key, and those whose text has no words, stay.  Rows that repeat a key are one
     document and stay or go together.  Only the keys that go are joined with the texts.
     """
-    groups = jaccard_components(docs.select(key, text), n, percent, key=key, text=text)
+    groups = jaccard_components(docs.select(key, text), n, percent, classes, key=key, text=text)
     gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
