@@ -81,6 +81,24 @@ def test_mix(docs, rows):
     assert max(copies.values()) <= 3 and all(copies[d] == 1 for d in size if not size[d])
 
 
+def test_mix_tiny_sources(spark, docs):
+    """Sources from 1 word to 80 000, at blocks of 401 words: each comes near its own target."""
+    texts = [("huge", 200)] * 400 + [("large", 150)] * 150 + [("tiny", 7), ("tiny", 3), ("one", 1), (None, 40), ("small", 90), ("small", 0)]
+    every = spark.createDataFrame([(i, " ".join(["w"] * n), "en", s, 0, 1, "x") for i, (s, n) in enumerate(texts)], docs.schema)
+    result = mixing.mix(every, seats=256)
+    got = result.documents.collect()
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in got) and len(got) == len(texts)
+    target, taken, seated = {r["source"]: r["target"] for r in got}, Counter(), Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+    for r in result.schedule.collect():
+        seated[r["source"]] += r["words"]
+    assert taken == seated and len(target) == 6
+    assert all(abs(taken[s] - t) <= (0.5 if s not in ("huge", "large") else 0.04 * t) for s, t in target.items())
+    copies = Counter(r["source"] for r in mixing.mixed(every, seats=256).collect())
+    assert copies["tiny"] == 6 and copies["one"] == 3 and copies["small"] == 4 and copies[None] == 3
+
+
 def test_suffix_dedup(docs, rows):
     got = by_id(substrings.removed_strings(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256")
     seen = set()

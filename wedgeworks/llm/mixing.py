@@ -5,6 +5,10 @@ blocks of equal length.  A fixed number of seats, each worth one block, goes to
 the sources by highest quotients; consecutive seats make up an output shard, so
 every shard has integer quotas of its own.  A source's k-th seat takes the k-th
 block of the source's seeded block order, starting again when all are used.
+
+A source whose target is few blocks would miss it by a large share, or get no seat
+at all.  It takes no part in the contest: it takes its target to the word, its whole
+stream in full laps and the head of the stream as a last, partial seat.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from wedgeworks.llm.common import WORD, global_prefix, materialise
 
 SEATS = 1 << 16
 SHARD_SEATS = 1 << 10
+#: Sources with a target below so many blocks take it to the word.
+FEW_BLOCKS = 64
 REPEATS = 3
 SEED = "mix-1"
 
@@ -25,7 +31,8 @@ SEED = "mix-1"
 @dataclass
 class Mix:
     """documents: doc_id, source, size, source_size, target, taken (one row per input row).
-    sources: source, weight, source_size, target, seats.  schedule: shard, seat, source, block, lap.
+    sources: source, weight, source_size, target, seats.  schedule: shard, seat, source, block, lap, words;
+    a source of few blocks has its whole stream as block 0, and its seats come last.
     """
 
     documents: DataFrame
@@ -65,7 +72,8 @@ def mix(docs: DataFrame, seats: int = SEATS, shard_seats: int = SHARD_SEATS, see
 
     A document's size is its number of words.  ``taken`` counts its words in the
     blocks taken, laps included; at most 3 x its size.  A source's taken words
-    differ from its target by a few blocks of (all words / seats) words.
+    differ from its target by a few blocks of (all words / seats) words, if that target is
+    FEW_BLOCKS blocks or more; by half a word at most, if it is less and a block is more than a word.
 
     Null text or no words: size 0, taken 0.  Null source: a source of its own,
     after all others.  Null or repeated keys: each row is a part of its source's
@@ -85,31 +93,44 @@ def mix(docs: DataFrame, seats: int = SEATS, shard_seats: int = SHARD_SEATS, see
     sources = source_targets(sizes, weights).withColumn("_block", block)
     sources = sources.withColumn("_blocks", F.expr("(source_size + _block - 1) div _block"))
     sources = sources.withColumn("_fair", F.floor(F.col("target") / F.col("_block")).cast("long"))
+    sources = sources.withColumn("_few", (F.col("_block") > 1) & (F.col("target") < FEW_BLOCKS * F.col("_block")))
+    sources = sources.withColumn("_words", F.when(F.col("_few"), F.round("target")).otherwise(0).cast("long"))
+    sources = sources.withColumn("_seats", F.greatest(F.lit(0), F.expr("(_total - sum(_words) over (partition by 0) + _block - 1) div _block")))
     number = sources.count()
     sources = materialise(sources)  # one row per source
+    large = sources.where("not _few")
+    rivals = large.count()
 
     # Quotients: seat k of a source has target / (2k - 1).  A source's seats stay within the number
     # of sources of its fair share, so each one's quotients up to there hold all that can win.
-    contest = sources.where("target > 0").select(
+    contest = large.where("target > 0").select(
         "_null",
         "_source",
         "target",
         "_blocks",
-        F.expr("(_total + _block - 1) div _block").alias("_seats"),
-        F.explode(F.expr(f"sequence(1L, least({REPEATS} * _blocks, _fair + {number}L + 1L))")).alias("_k"),
+        "_block",
+        "source_size",
+        "_seats",
+        F.explode(F.expr(f"sequence(1L, least({REPEATS} * _blocks, _fair + {rivals}L + 1L))")).alias("_k"),
     )
     quotient = F.col("target") / (2 * F.col("_k") - 1)
     order = Window.partitionBy(F.lit(0)).orderBy(quotient.desc(), "_null", "_source", "_k")
     seated = contest.withColumn("seat", F.row_number().over(order) - 1).where("seat < _seats")  # at most `seats` + sources^2 rows
-    hashed = sources.where("_blocks > 0").select("_null", "_source", "_blocks", F.explode(F.expr("sequence(0L, _blocks - 1)")).alias("block"))
+    hashed = large.where("_blocks > 0").select("_null", "_source", "_blocks", F.explode(F.expr("sequence(0L, _blocks - 1)")).alias("block"))
     tag = F.md5(F.concat_ws(":", F.lit(seed), F.col("_null").cast("string"), F.col("_source"), F.col("block").cast("string")))
     seeded = hashed.withColumn("_rank", F.row_number().over(Window.partitionBy("_null", "_source").orderBy(tag, "block")) - 1)  # at most seats + sources
     schedule = (
         seated.withColumn("_rank", F.expr("(_k - 1) % _blocks"))
         .withColumn("lap", F.expr("(_k - 1) div _blocks"))
         .join(seeded.drop("_blocks"), ["_null", "_source", "_rank"])
-        .select(F.expr(f"cast(seat div {shard_seats} as int)").alias("shard"), "seat", "_null", "_source", "block", "lap")
+        .select("seat", "_null", "_source", "block", "lap", F.expr("least(_block, source_size - block * _block)").alias("words"))
+    )
+    laps = sources.where("_words > 0").select("*", F.explode(F.expr("sequence(0L, (_words - 1) div source_size)")).alias("lap"))
+    after = Window.partitionBy(F.lit(0)).orderBy(F.desc("target"), "_null", "_source", "lap")  # at most 3 rows per source
+    last_seats = laps.select(
+        (F.col("_seats") + F.row_number().over(after) - 1).alias("seat"), "_null", "_source", F.lit(0).cast("long").alias("block"), "lap", F.expr("least(source_size, _words - lap * source_size)").alias("words")
     )
+    schedule = schedule.withColumn("seat", F.col("seat").cast("long")).unionByName(last_seats).withColumn("shard", F.expr(f"cast(seat div {shard_seats} as int)"))
     schedule = materialise(schedule)
     used = schedule.groupBy("_null", "_source", "block").agg(F.count("*").alias("_reps"))
     upto = Window.partitionBy("_null", "_source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -124,9 +145,10 @@ def mix(docs: DataFrame, seats: int = SEATS, shard_seats: int = SHARD_SEATS, see
 
     # Words taken before position x of a stream: whole blocks before it, then part of its own block.
     # The block table has at most seats + sources rows, so broadcasting it is bounded by the parameter.
-    few = F.broadcast(sources.select("_null", "_source", "target", "_block", "_blocks", F.col("source_size"))) if number <= seats else sources.select("_null", "_source", "target", "_block", "_blocks", "source_size")
+    few = sources.select("_null", "_source", "target", "_block", "_blocks", "source_size", "_few", "_words")
+    few = F.broadcast(few) if number <= seats else few
     at = stream.join(few, ["_null", "_source"]).select(
-        "doc_id", "source", "size", "_null", "_source", "source_size", "target", "_block", "_at", (F.col("_at") + F.col("size")).alias("_end")
+        "doc_id", "source", "size", "_null", "_source", "source_size", "target", "_block", "_few", "_words", "_at", (F.col("_at") + F.col("size")).alias("_end")
     )
     last = F.greatest(F.col("_end") - 1, F.lit(0))
     at = at.withColumn("_b0", F.expr("_at div _block")).withColumn("_b1", F.floor(last / F.col("_block")).cast("long"))
@@ -135,13 +157,15 @@ def mix(docs: DataFrame, seats: int = SEATS, shard_seats: int = SHARD_SEATS, see
         lookup = blocks.select("_null", "_source", F.col("block").alias(f"_b{side}"), F.col("_reps").alias(f"_r{side}"), F.col("_before").alias(f"_p{side}"))
         at = at.join(F.broadcast(lookup) if small else lookup, ["_null", "_source", f"_b{side}"], "left")
     count = lambda x, side: F.expr(f"_p{side} * _block + _r{side} * ({x} - _b{side} * _block)")
-    taken = F.when(F.col("size") > 0, count("_end", "1") - count("_at", "0")).otherwise(F.lit(0)).cast("long")
+    # few blocks: full laps, then the words before the end of the partial one
+    head = lambda x: F.expr(f"(_words div source_size) * {x} + least({x}, _words % source_size)")
+    taken = F.when(F.col("size") == 0, F.lit(0)).when(F.col("_few"), head("_end") - head("_at")).otherwise(count("_end", "1") - count("_at", "0")).cast("long")
     documents = at.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
     listed = sources.join(seats_of, ["_null", "_source"], "left").select(shown, "weight", "source_size", "target", F.coalesce("seats", F.lit(0)).alias("seats"))
-    return Mix(documents, listed, schedule.select("shard", "seat", shown, "block", "lap"))
+    return Mix(documents, listed, schedule.select("shard", "seat", shown, "block", "lap", "words"))
 
 
-def mixed(docs: DataFrame, seed: str = SEED, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mixed(docs: DataFrame, seed: str = SEED, seats: int = SEATS, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix takes its words.
 
     taken / size is rounded up with the probability of its fraction, decided by a hash of the row's
@@ -149,7 +173,7 @@ def mixed(docs: DataFrame, seed: str = SEED, key: str = "doc_id", text: str = "t
     3 times; rows without words come once, as they cost nothing.  Rows alike in key, source and
     size share their taken words evenly.  Null keys and sources are values like others.
     """
-    per = mix(docs.select(key, text, source), seed=seed, key=key, text=text, source=source).documents
+    per = mix(docs.select(key, text, source), seats, seed=seed, key=key, text=text, source=source).documents
     per = per.groupBy("doc_id", "source", "size").agg((F.sum("taken") / F.count("*")).alias("_taken"))
     per = per.select(F.col("doc_id").alias("_k"), F.col("source").alias("_s"), F.col("size").alias("_n"), "_taken")
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
