@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -197,6 +198,39 @@ def test_decontamination(spark, docs, rows):
     assert decontamination.without_items(docs, bench.limit(0)).count() == len(rows)
 
 
+def altered(rng, words, kind, new):
+    """``words`` with about a fifth of the shingles gone."""
+    most = (len(words) - 4) // 5
+    cut = rng.randint(0, most)
+    if kind != "edited":
+        head = {"head": most, "tail": 0, "both": cut}[kind]
+        return words[head : len(words) - (0 if kind == "head" else most - head)]
+    for at in sorted(rng.sample(range(len(words)), max(1, most // 5)), reverse=True):
+        words = [*words[:at], *rng.choice(([], [new()], [new(), words[at]])), *words[at + 1 :]]
+    return words
+
+
+@pytest.mark.parametrize("kind,least", [("head", 1), ("tail", 1), ("both", 1), ("edited", 0.95)])
+def test_decontamination_recall(kind, least):
+    """Passages down to the threshold, at any place of a text; those that no span holds to 0.8 don't count."""
+    rng = random.Random(7)
+    new = lambda: f"w{rng.randrange(3000)}"
+    items = [[new() for _ in range(m)] for m in [*range(6, 60), *range(150, 280, 4)]]
+    items += [[*items[40][:12], *(new() for _ in range(m))] for m in (9, 20, 30)]  # a common beginning weighs less
+    index = decontamination.Index([(i, " ".join(x).encode()) for i, x in enumerate(items)])
+    table, texts, due = decontamination.Signs(index.weights), [], []
+    for i, item in enumerate(items):
+        for _ in range(4):
+            ahead = rng.randint(0, 30)
+            words = [x.encode() for x in [*(new() for _ in range(ahead)), *altered(rng, item, kind, new), *(new() for _ in range(rng.randint(0, 30)))]]
+            texts.append(b" ".join(words))
+            due.append(i if max(index.similarity(i, words, at) for at in range(-len(item), len(words))) >= 0.8 else None)
+    found = list(decontamination._matched(index, table, texts))
+    hits = [i in f for i, f in zip(due, found, strict=True) if i is not None]
+    assert len(hits) > len(texts) / 2 and sum(hits) >= least * len(hits), (sum(hits), len(hits))
+    assert all(s >= 0.8 for f in found for s, _, _ in f.values())
+
+
 SF = "/root/testdata/sf0.1"
 
 

@@ -1,9 +1,13 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming lookup, exact check.
 
-Items fall into size classes (a geometric ladder of window sizes).  An item is known
-by the fingerprints of its own windows of its class's size, one for each offset below
-the stride, so that windows taken at every stride-th word of a document meet one of
-them whatever the passage's position.  64-bit fingerprints are indexed by four
+Items fall into size classes (a geometric ladder of window sizes), by the shortest
+stretch of the item that reaches the similarity.  An item is known by the fingerprints
+of groups of its own windows of its class's size: at its head, at its end, and so
+between them that each stretch which reaches the similarity holds a group.  A group has a
+window for each offset below the stride, so that windows taken at every stride-th word of
+a document meet one of them whatever the passage's position: an unbroken stretch of an
+item is always found, a passage with changed words if a window is near enough.
+Windows with no item's shingle about them are left out.  64-bit fingerprints are indexed by four
 16-bit blocks, each entered under every value within RADIUS // 4 bits: any
 fingerprint within RADIUS has such a block.  Candidates are verified by the exact
 share of the item's weighted word shingles found in the item-sized span.
@@ -29,6 +33,8 @@ STRIDE, LADDER = 4, 1.5
 #: Bytes of item text that one pass over the documents carries to the executors.
 PASS_BYTES = 16 << 20
 MAX_WEIGHT = 7
+#: Leading bits of a shingle's hash that say whether it may be an item's.
+MARK_BITS = 20
 #: Words that are fingerprinted at a time.
 STEP = 1 << 15
 #: Words whose signs a worker keeps.
@@ -53,6 +59,40 @@ def size_class(m: int) -> tuple[int, int]:
     return steps * STRIDE, STRIDE
 
 
+def stretches(weights: list[float], shingle: int) -> list[tuple[int, int]]:
+    """(first word, end) of the shortest stretches of an item whose shingles weigh SIMILARITY of all."""
+    least, found, end, held = sum(weights) * (SIMILARITY - 1e-9), [], 0, 0.0
+    for begin in range(len(weights)):
+        while held < least and end < len(weights):
+            held += weights[end]
+            end += 1
+        if held < least:
+            break
+        found.append((begin, end + shingle - 1))
+        held -= weights[begin]
+    return found
+
+
+def offsets(m: int, size: int, stride: int, found: list[tuple[int, int]]) -> list[int]:
+    """Offsets of an item's windows: groups of ``stride`` at its head and end, and within each stretch."""
+    reach = size + stride - 1
+    firsts, last = {0, m - reach}, 0
+    for begin, end in found:
+        if last < begin:
+            last = end - reach
+            firsts.add(last)
+    return sorted({f + o for f in firsts for o in range(stride)})
+
+
+def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of the n-word shingles that begin at each word."""
+    out = np.zeros(max(len(hashes) - n + 1, 0), np.uint64)
+    for j in range(n):
+        out = (out ^ hashes[j : j + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
 class Signs:
     """Words -> rows of 64 signed weights."""
 
@@ -60,20 +100,24 @@ class Signs:
         self.weights = weights
         self.row: dict[bytes, int] = {}
         self.rows = np.zeros((0, 64), np.int8)
+        self.hashes = np.zeros(0, np.uint64)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
+        """The words' places in ``rows`` and ``hashes``, until the next call."""
         row = self.row
         new = [w for w in dict.fromkeys(words) if w not in row]
         if len(row) + len(new) > MEMO:
             row.clear()
-            self.rows = self.rows[:0]
+            self.rows, self.hashes = self.rows[:0], self.hashes[:0]
             new = list(dict.fromkeys(words))
         if new:
-            bits = np.unpackbits(np.array(list(map(xxhash.xxh3_64_intdigest, new)), ">u8").view(np.uint8)).reshape(-1, 64)
+            digests = np.array(list(map(xxhash.xxh3_64_intdigest, new)), np.uint64)
+            bits = np.unpackbits(digests.astype(">u8").view(np.uint8)).reshape(-1, 64)
             weight = np.array([self.weights.get(w, MAX_WEIGHT) for w in new], np.int8)
             row.update(zip(new, range(len(row), len(row) + len(new)), strict=True))
             self.rows = np.concatenate([self.rows, (bits.view(np.int8) * 2 - 1) * weight[:, None]])
-        return self.rows[np.fromiter(map(row.__getitem__, words), np.int64, len(words))]
+            self.hashes = np.concatenate([self.hashes, digests])
+        return np.fromiter(map(row.__getitem__, words), np.int64, len(words))
 
 
 def fingerprints(signs: np.ndarray, size: int, stride: int) -> np.ndarray:
@@ -104,13 +148,32 @@ class Index:
         self.total = [sum(x.values()) for x in self.share]
         table = Signs(self.weights)
         grouped: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        reach: dict[tuple[int, int], int] = {}
+        known: dict[int, list[np.ndarray]] = {}
         for i, ws in enumerate(self.words):
             if ws:
-                size, stride = size_class(len(ws))
-                signs = table(ws)
-                for o in range(stride):
+                shingle = min(SHINGLE, len(ws))
+                found = stretches([1 / held[s] for s in shingle_list(ws)], shingle)
+                size, stride = size_class(min(end - begin for begin, end in found))
+                at = table(ws)
+                signs = table.rows[at]
+                reach[size, stride] = max(reach.get((size, stride), 0), len(ws) + 2 * STRIDE)
+                known.setdefault(shingle, []).append(rolling(table.hashes[at], shingle))
+                for o in offsets(len(ws), size, stride, found):
                     grouped.setdefault((size, stride), []).append((int(fingerprints(signs[o : o + size], size, size)[0]), i, o))
         self.classes = {k: self._tables(v) for k, v in sorted(grouped.items())}
+        self.reach = reach
+        self.known = {n: np.unique(np.concatenate(x)) for n, x in known.items()}
+        self.marks = {n: np.bincount((x >> np.uint64(64 - MARK_BITS)).astype(np.int64), minlength=1 << MARK_BITS) > 0 for n, x in self.known.items()}
+
+    def _shingles_before(self, hashes: np.ndarray) -> np.ndarray:
+        """For each word, the number of items' shingles that begin before it."""
+        here = np.zeros(len(hashes), bool)
+        for n, known in self.known.items():
+            rolled = rolling(hashes, n)
+            maybe = np.flatnonzero(self.marks[n][(rolled >> np.uint64(64 - MARK_BITS)).astype(np.int64)])
+            here[maybe[known[np.minimum(np.searchsorted(known, rolled[maybe]), len(known) - 1)] == rolled[maybe]]] = True
+        return np.concatenate([[0], np.cumsum(here)])
 
     @staticmethod
     def _tables(entries):
@@ -154,8 +217,14 @@ class Index:
         overlap += -overlap % STRIDE
         words = list(chain.from_iterable(split))
         edges = np.cumsum([0, *map(len, split)])
+        back = max(self.reach.values(), default=0)
         for begin in range(0, len(words), STEP):
-            signs = table(words[begin : begin + STEP + overlap])
+            early = min(begin, back)
+            places = table(words[begin - early : begin + STEP + overlap + back])
+            before = self._shingles_before(table.hashes[places])
+            if not before[-1]:
+                continue
+            signs = table.rows[places[early : early + STEP + overlap]]
             sums = {}
             for size, stride in self.classes:
                 if stride not in sums:
@@ -163,8 +232,13 @@ class Index:
                     part = signs[: steps * stride].reshape(steps, stride, 64)
                     sums[stride] = np.zeros((steps + 1, 64), np.int32)
                     np.cumsum(part.sum(1, dtype=np.int32) if stride > 1 else part[:, 0], axis=0, out=sums[stride][1:])
-                window, entry, distance = self.near((size, stride), _packed(sums[stride], size // stride))
-                start = begin + window * stride
+                prints = _packed(sums[stride], size // stride)
+                # a passage of the class has a shingle of its item within reach of each of its windows
+                at = early + np.arange(len(prints)) * stride
+                reach = self.reach[size, stride]
+                some = np.flatnonzero(before[np.minimum(at + reach + 1, len(before) - 1)] > before[np.maximum(at - reach, 0)])
+                window, entry, distance = self.near((size, stride), prints[some])
+                start = begin + some[window] * stride
                 text = np.searchsorted(edges, start, side="right") - 1
                 inside = start + size <= edges[text + 1]
                 _, items, offsets, _ = self.classes[size, stride]
@@ -197,7 +271,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     Words are compared with A-Z lower-cased and other ASCII than letters and digits as separators.
     An item is found where at least SIMILARITY of its weighted 5-word shingles (fewer words: the
     whole item) lie in a span of its size; the best span is returned, the nearest fingerprint, then the
-    first, of equal ones.
+    first, of equal ones.  An unbroken stretch of the item is always found.  A passage with words
+    changed, left out or put in is found if one of its windows is within RADIUS bits of one of the item's; the
+    README has the measured shares.
 
     Null or empty texts and items match nothing.  Null or repeated doc_ids pass through: each row
     has its own matches.  Repeated item_ids are items of their own, and one row each.  Empty tables:
