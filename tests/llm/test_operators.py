@@ -144,6 +144,26 @@ def test_token_files(spark, docs, rows):
         start += len(ids)
 
 
+def test_token_files_added_tokens(spark, docs):
+    """The literal of an added token has that token's id, as in the library's plain call."""
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    model = public.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(model)
+    name = next(iter(tokenizer.get_added_tokens_decoder().values())).content
+    texts = [f"a {name} b", name, f"x{name}{name}\ny", f"{name[:-1]} a", f" {name}  ", "plain text", f"{name.upper()} b"]
+    every = spark.createDataFrame([(i, t, "en", "s", 0, 1, "x") for i, t in enumerate(texts)], docs.schema)
+    path = token_files.new_path(spark, "tokens")
+    token_files.write(every, model, path)
+    got = by_id(token_files.read(spark, path), "start", "ids")
+    start = 0
+    for i, t in enumerate(texts):
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
+        assert got[i] == (start, b"".join(x.to_bytes(4, "little") for x in ids)), t
+        start += len(ids)
+
+
 def brute_groups(rows, n=3, percent=90):
     sets = {d: ngram_join.shingles((t or "").translate(LOWER).encode(), n) for d, t, *_ in rows}
     parent = {d: d for d in sets}

@@ -62,16 +62,16 @@ class Encoder:
 
     A byte-level tokenizer cuts a text before each space or newline that precedes a word, and between
     two characters of white space before a word.  So the ids of the pieces from one space or newline to
-    the next, kept in memory, make up those of the text.  A text with a longer run of white space, or with
-    two such characters at its end, goes to the library whole.
+    the next, kept in memory, make up those of the text.  A text with a longer run of white space, with
+    two such characters at its end or with the literal of an added token goes to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        # the strings of special tokens are ordinary text
-        self.tool.encode_special_tokens = True
+        added = [t.content for t in self.tool.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([RUN.pattern, *map(re.escape, filter(None, added))]))
         #: By piece: one that begins with a newline stands for itself, any other for a space and itself.
         self.kept: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
@@ -89,7 +89,7 @@ class Encoder:
             kept.update(zip(some[i : i + 20_000], self._ids([whole(p) for p in some[i : i + 20_000]]), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [None if RUN.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        cut = [None if self.whole.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
         heads = [c.pop(0) if c else "" for c in cut]
         self._fill(self.kept, set().union(*filter(None, cut)), lambda p: p if p[:1] == "\n" else " " + p)
         self._fill(self.heads, set(heads), str)
