@@ -321,3 +321,15 @@ def test_pipeline(spark, tmp_path):
             assert out.exceptAll(before).count() == 0
         before = out
     assert sorted(map(tuple, P.run(spark, sf).collect())) == sorted(map(tuple, out.collect()))
+
+
+def test_mixed_clashing_columns(spark, docs, rows):
+    """Columns named like the operator's own come back untouched."""
+    names = ["_size", "_copy", "_k", "_s", "_n", "_taken", "_row", "_key", "_from", "size", "col"]
+    extra = docs.select("doc_id", "text", "source", *(F.lit(f"mine {n}").alias(n) for n in names))
+    got = mixing.mixed(extra)
+    assert got.columns == extra.columns
+    found = got.collect()
+    assert all(r[n] == f"mine {n}" for r in found for n in names)
+    want = sorted(r["doc_id"] for r in mixing.mixed(docs).collect())
+    assert sorted(r["doc_id"] for r in found) == want

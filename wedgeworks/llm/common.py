@@ -5,8 +5,8 @@ from __future__ import annotations
 import tempfile
 from functools import reduce
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Word pattern of every operator: a run of anything but space and \t\n\v\f\r.
@@ -43,10 +43,6 @@ def total_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys))
-
-
 def global_prefix(
     df: DataFrame,
     order: list[str],
@@ -94,5 +90,8 @@ def pieces(parts, rows: int = 256):
             yield part.slice(at, rows)
 
 
-def batches(tables: list[pa.Array], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(tables, names)
+def mix64(x: np.ndarray) -> np.ndarray:
+    """Spreads the bits of 64-bit values: a mixer of two multiplications (a published one-to-one mapping)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

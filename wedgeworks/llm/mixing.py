@@ -77,7 +77,8 @@ def mix(docs: DataFrame, seats: int = SEATS, shard_seats: int = SHARD_SEATS, see
 
     Null text or no words: size 0, taken 0.  Null source: a source of its own,
     after all others.  Null or repeated keys: each row is a part of its source's
-    stream, ties by size.  Empty table: no rows, no seats.  Other columns are ignored.
+    stream, ties by size.  Texts of any length are counted whole.  Empty table: no rows, no seats.
+    Other columns are ignored, whatever their names.
     """
     rows = docs.select(
         F.col(key).alias("doc_id"),
@@ -171,14 +172,15 @@ def mixed(docs: DataFrame, seed: str = SEED, seats: int = SEATS, key: str = "doc
     taken / size is rounded up with the probability of its fraction, decided by a hash of the row's
     key, text and source, so that whole documents make up each source's target.  No row comes more than
     3 times; rows without words come once, as they cost nothing.  Rows alike in key, source and
-    size share their taken words evenly.  Null keys and sources are values like others.
+    size share their taken words evenly.  Null keys and sources are values like others.  Columns of any
+    name pass through.  Texts of any length are counted whole.  Empty table: no rows.
     """
-    per = mix(docs.select(key, text, source), seats, seed=seed, key=key, text=text, source=source).documents
-    per = per.groupBy("doc_id", "source", "size").agg((F.sum("taken") / F.count("*")).alias("_taken"))
-    per = per.select(F.col("doc_id").alias("_k"), F.col("source").alias("_s"), F.col("size").alias("_n"), "_taken")
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    on = F.col(key).eqNullSafe(F.col("_k")) & F.col(source).eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n"))
-    joined = docs.withColumn("_size", size).join(per, on)
-    chance = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(text), F.col(source)), F.lit(1 << 20)) / (1 << 20)
-    copies = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.floor(F.col("_taken") / F.col("_size") + chance)).cast("int")
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    names = {"doc_id": key, "text": text, "source": source}
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *(F.col(f"`{c}`").alias(n) for n, c in names.items()))
+    per = mix(rows, seats, seed=seed).documents.groupBy("doc_id", "source", "size").agg((F.sum("taken") / F.count("*")).alias("_taken"))
+    per = per.select(F.col("doc_id").alias("_key"), F.col("source").alias("_from"), F.col("size").alias("_size"), "_taken")
+    rows = rows.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    joined = rows.join(per, F.col("doc_id").eqNullSafe(F.col("_key")) & F.col("source").eqNullSafe(F.col("_from")) & (F.col("size") == F.col("_size")))
+    chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text", "source"), F.lit(1 << 20)) / (1 << 20)
+    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("_taken") / F.col("size") + chance)).cast("int")
+    return joined.select("_row", F.explode(F.array_repeat(F.lit(0), copies))).select("_row.*")

@@ -1,31 +1,40 @@
 """Jaccard join on word n-gram sets with token-combination prefixes.
 
 Sets are put in one global order (tokens that are frequent in the whole corpus
-last).  Two sets that reach the threshold share at least ``CLASSES + 1`` tokens of
-their extended prefixes.  A token held by few prefixes is indexed alone.  Tokens
-held by many fall into CLASSES classes, within which they are indexed by pairs:
-the extended prefix is so long that, whatever tokens differ, a single rare token or
-a pair in one class stays common.  Candidates are verified on the words themselves.
-
-Equal sets are one node.  Most links come from a first round, which compares each
-node with the least and greatest node of its tokens; the index of tokens and pairs
-then gives only candidates of different components, so that a group of near copies
-never becomes all of its pairs.
+last).  Two sets that reach the threshold share more tokens of their extended
+prefixes than there are classes of frequent tokens.  A token held by few prefixes
+is indexed alone; one held by many, alone within a cell of like sizes if few hold
+it there; of those still held by many, pairs in one class: the extended prefix is
+so long that, whatever tokens differ, a rare token or a pair in one class stays
+common.  Nodes that meet in a pair held by many are put in an order of their own, by
+how many of them hold each token: tokens of one node alone can't be shared, which
+bounds the sizes it may link with, and its rarest shared tokens are its prefix there.
+Candidates are verified on the words themselves.
+
+Equal sets are one node.  Most links come from first rounds, which compare each
+node with few others (the least and greatest node of its tokens; among nodes that
+meet in frequent pairs, the one with the fewest tokens of its own).  The index then gives
+only candidates of different components, so that a group of near copies never
+becomes all of its pairs.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wedgeworks.llm.common import materialise
+from wedgeworks.llm.common import materialise, mix64
 from wedgeworks.llm.components import components
 
-#: Classes of frequent tokens, and the most prefixes that hold a rare token.
-CLASSES, RARE = 8, 64
+#: Least number of classes of frequent tokens, and the most prefixes that hold a rare token or pair.
+CLASSES, RARE = 4, 16
+#: Large sets have a class for each so many tokens that a linked set may lack, so that their pairs grow with their size.
+PER_CLASS = 8
 #: A token in at least this share of a batch's documents may be frequent in the corpus; the list of these is
 #: bounded by mean set size / share, whatever the number of documents.
 COMMON = 1 / 200
@@ -40,11 +49,6 @@ class _Hashes(dict):
         return value
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-
-
 def shingle_hashes(text: bytes, n: int, words: dict) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the n-word shingles; of the whole sequence if it is shorter."""
     split = text.lower().split()
@@ -54,7 +58,7 @@ def shingle_hashes(text: bytes, n: int, words: dict) -> np.ndarray:
     m = min(n, len(h))
     out = np.full(len(h) - m + 1, m, np.uint64)
     for j in range(m):
-        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - m + 1 + j])
+        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - m + 1 + j])
     return np.unique(out)
 
 
@@ -69,6 +73,22 @@ def allowed(size: int, percent: int) -> int:
     return size - -(-size * percent // 100)
 
 
+class Bands:
+    """Ranges of set sizes: linked sets lie in one band or in neighbours.
+
+    Cell g holds the sets of bands g - 1 and g, so that every two linked sets meet in the cell of the
+    larger one's band.  Each cell has its number of classes.
+    """
+
+    def __init__(self, percent: int, classes: int):
+        self.width = math.log(100 / min(percent, 99)) * 1.0001  # a little more, so that rounding can't part linked sets
+        top = int(math.log(2.0**40) / self.width) + 2
+        self.classes = [max(classes, allowed(int(math.exp((g + 1) * self.width)) + 1, percent) // PER_CLASS) for g in range(top)]
+
+    def of(self, size: int) -> int:
+        return int(math.log(size) / self.width) if size else 0
+
+
 def _common(n: int):
     def run(parts):
         words = _Hashes()
@@ -99,32 +119,46 @@ def common_tokens(texts: DataFrame, n: int, total: int) -> list[int]:
     return [r["token"] for r in found.where(F.col("n") >= max(3, COMMON / 2 * total)).select("token").collect()]
 
 
-def _sets(n: int, percent: int, classes: int, common: bytes):
-    """size, 128-bit hash of the set, and its extended prefix."""
+def _sets(n: int, percent: int, bands: Bands, common: bytes):
+    """size, its band, 128-bit hash of the set, and its extended prefix."""
 
     def run(parts):
         words, last = _Hashes(), np.frombuffer(common, np.uint64)
         for part in parts:
-            size, h1, h2, prefix = [], [], [], []
+            size, band, h1, h2, prefix = [], [], [], [], []
             for text in part.column("_text").to_pylist():
                 found = shingle_hashes(text, n, words)
                 d = xxhash.xxh3_128_intdigest(found.tobytes())
                 size.append(len(found))
+                band.append(bands.of(len(found)))
                 h1.append((d >> 64) - (1 << 63))
                 h2.append((d & (1 << 64) - 1) - (1 << 63))
                 if len(last) and len(found):
                     at = np.minimum(np.searchsorted(last, found), len(last) - 1)
                     often = last[at] == found
                     found = np.concatenate([found[~often], found[often]])
-                prefix.append(found[: allowed(len(found), percent) + 1 + classes].view(np.int64))
+                prefix.append(found[: allowed(len(found), percent) + 1 + bands.classes[band[-1] + 1]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
-                ["doc_id", "size", "h1", "h2", "prefix"],
+                [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(band, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
+                ["doc_id", "size", "band", "h1", "h2", "prefix"],
             )
 
     return run
 
 
+def _tokens(n: int):
+    """All tokens of each text, with the first half of its set's hash."""
+
+    def run(parts):
+        words = _Hashes()
+        for part in parts:
+            found = [shingle_hashes(t, n, words) for t in part.column("_text").to_pylist()]
+            h1 = [(xxhash.xxh3_128_intdigest(x.tobytes()) >> 64) - (1 << 63) for x in found]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(h1, pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["node", "h1", "tokens"])
+
+    return run
+
+
 def _verify(n: int, percent: int):
     def run(parts):
         for part in parts:
@@ -163,6 +197,36 @@ def plausible(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     return both.where(F.size(F.array_intersect("_pa", "_pb")) >= least).select("a", "b")
 
 
+def _apart(index: DataFrame, near) -> DataFrame:
+    """Pairs (a, b) of different components that share a key of the index (key, cell, node, n, band, component)."""
+    right = index.select("key", "cell", F.col("node").alias("b"), F.col("n").alias("m"), F.col("band").alias("_band"), F.col("component").alias("_other"))
+    met = (F.col("node") < F.col("b")) & (F.col("component") != F.col("_other")) & near(F.col("n"), F.col("m")) & (F.greatest("band", "_band") == F.col("cell"))
+    return index.join(right, ["key", "cell"]).where(met).select(F.col("node").alias("a"), "b").distinct()
+
+
+def _with_component(rows: DataFrame, group: DataFrame) -> DataFrame:
+    return rows.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _met_often(hot: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, n, alone, token): of the nodes ``hot``, each one's rarest shared tokens, ``alone`` of n being its own.
+
+    Tokens are ranked by how many of these nodes hold them.  A set lacks at most allowed(n) tokens of a linked
+    one, and lacks all of those that it alone holds: beyond that number it has no links here; else
+    one token more than the rest of the allowance is sure to meet.
+    """
+    kind = hot.schema["node"].dataType.simpleString()
+    own = texts.join(hot.select(F.col("node").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("node"), "_text")
+    sets = own.mapInArrow(_tokens(n), f"node {kind}, h1 long, tokens array<long>").distinct()
+    sets = sets.select("node", "h1", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
+    sets = materialise(sets)
+    held = sets.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
+    per = sets.join(held, "token").groupBy("node", "h1", "n").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("_t"))  # bounded by a set's size
+    spare = F.expr(f"n - (n * {percent}L + 99) div 100").cast("int")
+    per = per.withColumn("alone", F.col("n") - F.size("_t")).where(F.col("alone") <= spare)
+    return per.select("node", "n", "alone", F.explode(F.slice("_t", F.lit(1), (spare - F.col("alone") + 1).cast("int"))["token"]).alias("token"))
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, classes: int = CLASSES, rare: int = RARE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
@@ -172,54 +236,85 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, classes:
 
     Null or empty text, or no words: size 0, linked with nothing, its own id.  Null doc_id: linked
     with nothing, component null.  Rows that repeat a doc_id are one document, linked by any of its texts.  Empty table: no rows.
-    Other columns are ignored.  ``percent`` must be such that sets smaller than classes + 1 link
-    only if they are equal: at least 100 * classes / (classes + 1).
+    Very long texts are taken whole, a set in memory at a time.  Other columns are ignored, whatever their names.
+    ``percent`` must be such that sets smaller than classes + 1 link only if they are equal: above
+    100 * classes / (classes + 1).
     """
     if percent * (classes + 1) <= 100 * classes:
         raise ValueError("too many classes for this threshold")
+    bands = Bands(percent, classes)
     texts = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     often = np.sort(np.array(common_tokens(texts.select("_text"), n, texts.count()), np.int64).view(np.uint64)).tobytes()
-    sets = materialise(texts.mapInArrow(_sets(n, percent, classes, often), f"doc_id {kind}, size long, h1 long, h2 long, prefix array<long>"))
+    sets = materialise(texts.mapInArrow(_sets(n, percent, bands, often), f"doc_id {kind}, size long, band int, h1 long, h2 long, prefix array<long>"))
     linkable = sets.where("size > 0 and doc_id is not null")
-    nodes = linkable.groupBy("h1", "h2", "size").agg(F.min("doc_id").alias("node"))
-    member = linkable.select("doc_id", "h1", "h2", "size").join(nodes, ["h1", "h2", "size"]).where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    same = ["h1", "h2", "size"]
+    nodes = materialise(linkable.groupBy(*same).agg(F.min("doc_id").alias("node"), F.count("*").alias("_n")).where("_n > 1").select(*same, "node"))
+    member = materialise(linkable.select("doc_id", *same).join(nodes, same).where("doc_id != node").select("doc_id", "node", *same))
     # sets of up to `classes` tokens link with equal ones alone
-    own = linkable.where(F.col("size") > classes).join(nodes.select(F.col("node").alias("doc_id"), "h1", "h2", "size"), ["doc_id", "h1", "h2", "size"])
-    entry = own.select(F.col("doc_id").alias("node"), F.col("size").alias("n"), F.explode("prefix").alias("token"))
+    own = linkable.where(F.col("size") > classes).join(member, ["doc_id", *same], "left_anti")
+    member = member.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    entry = own.select(F.col("doc_id").alias("node"), F.col("size").cast("int").alias("n"), "band", F.explode("prefix").alias("token"))
     tokens = entry.groupBy("token").agg(F.count("*").alias("held"), F.min(F.struct("node", "n")).alias("_lo"), F.max(F.struct("node", "n")).alias("_hi")).where("held > 1")
     entry = materialise(entry.join(tokens, "token"))
 
     near = lambda x, y: (100 * F.least(x, y)) >= percent * F.greatest(x, y)
+    pair = lambda rows: materialise(rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     center = F.explode(F.array("_lo", "_hi")).alias("_c")
     first = entry.select("node", "n", center).where(F.col("node") != F.col("_c.node")).where(near(F.col("n"), F.col("_c.n")))
     first = first.groupBy(F.col("node").alias("b"), F.col("_c.node").alias("a")).agg(F.count("*").alias("_shared")).where(F.col("_shared") > classes // 2)
-    first = materialise(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = verified(plausible(first, sets, percent), texts, n, percent)
+    done = pair(first)
+    links = verified(plausible(done, sets, percent), texts, n, percent)
     group = components(links)
 
-    known = entry.select("token", "held", "node", "n").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = known.groupBy("token").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x != _y").select("token")
-    rest = materialise(known.join(mixed, "token"))
-    single = rest.where(F.col("held") <= rare).select(F.col("token").alias("s1"), F.lit(0).cast("long").alias("s2"), "node", "n", "component")
-    many = rest.where(F.col("held") > rare).withColumn("_class", F.pmod("token", F.lit(classes)))
-    other = many.select(F.col("node"), F.col("_class"), F.col("token").alias("s2"))
-    pair = many.join(other, ["node", "_class"]).where("token < s2").select(F.col("token").alias("s1"), "s2", "node", "n", "component")
-    index = single.unionByName(pair)
-    right = index.select("s1", "s2", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("_other"))
-    second = index.join(right, ["s1", "s2"]).where((F.col("node") < F.col("b")) & (F.col("component") != F.col("_other"))).where(near(F.col("n"), F.col("m")))
-    second = second.select(F.col("node").alias("a"), "b").distinct().join(first, ["a", "b"], "left_anti")
+    known = _with_component(entry.select("token", "held", "node", "n", "band"), group)
+    split = lambda rows, by: rows.groupBy(*by).agg(F.count("*").alias("_held"), F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x != _y").select(*by, "_held")
+    rest = materialise(known.join(split(known, ["token"]).drop("_held"), "token"))
+    none = F.lit(-1)
+    index = rest.where(F.col("held") <= rare).select(F.col("token").alias("key"), none.alias("cell"), "node", "n", none.alias("band"), "component")
+    celled = rest.where(F.col("held") > rare).select("token", "node", "n", "band", "component", F.explode(F.array("band", F.col("band") + 1)).alias("cell"))
+    celled = materialise(celled.join(split(celled, ["token", "cell"]), ["token", "cell"]))
+    keyed = lambda rows, *by: rows.select(F.xxhash64(*by).alias("key"), "cell", "node", "n", "band", "component")
+    index = index.unionByName(keyed(celled.where(F.col("_held") <= rare), "token"))
+    number = F.element_at(F.array(*map(F.lit, bands.classes)), F.col("cell") + 1)
+    many = celled.where(F.col("_held") > rare).withColumn("_class", F.pmod(F.col("token"), number))
+    other = many.select("node", "cell", "_class", F.col("token").alias("_second"))
+    paired = keyed(many.join(other, ["node", "cell", "_class"]).where("token < _second"), "token", "_second")
+    paired = materialise(paired.join(split(paired, ["key", "cell"]), ["key", "cell"]))
+    index = index.unionByName(paired.where(F.col("_held") <= rare).drop("_held"))
+    candidates = _apart(index, near)
+
+    hot = materialise(paired.where(F.col("_held") > rare).select("node").distinct())
+    if not hot.isEmpty():
+        ranked = materialise(_met_often(hot, texts, n, percent))
+        # the node with the fewest tokens of its own is compared with all that hold its token
+        middle = ranked.groupBy("token").agg(F.min(F.struct("alone", "node", "n")).alias("_c"))
+        held = _with_component(ranked.join(middle, "token"), group)
+        round_ = pair(held.where(F.col("node") != F.col("_c.node")).where(near(F.col("n"), F.col("_c.n"))).select(F.col("_c.node").alias("a"), F.col("node").alias("b")))
+        found = verified(plausible(round_.join(done, ["a", "b"], "left_anti"), sets, percent), texts, n, percent)
+        links = links.unionByName(found)
+        group = components(links)
+        # the largest set that a set can link with, if all that it shares with others is common to both
+        reach = F.expr(f"({100 + percent}L * (n - alone)) div {percent} - n")
+        left = _with_component(ranked.withColumn("_most", reach), group)
+        left = left.join(split(left, ["token"]).drop("_held"), "token")
+        right = left.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("_most").alias("_other_most"), F.col("component").alias("_other"))
+        met = (F.col("node") < F.col("b")) & (F.col("component") != F.col("_other")) & (F.col("m") <= F.col("_most")) & (F.col("n") <= F.col("_other_most")) & near(F.col("n"), F.col("m"))
+        candidates = candidates.unionByName(left.join(right, "token").where(met).select(F.col("node").alias("a"), "b").distinct())
+        done = done.unionByName(round_)
+    second = pair(candidates).join(done, ["a", "b"], "left_anti")
     links = links.unionByName(verified(plausible(second, sets, percent), texts, n, percent)).unionByName(member)
-    final = components(links).select(F.col("node").alias("_n"), "component")
-    return sets.join(final, sets["doc_id"] == final["_n"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    final = components(links)
+    return sets.join(final, sets["doc_id"] == final["node"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def without_copies(docs: DataFrame, n: int = 3, percent: int = 90, classes: int = CLASSES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, of one document of each group: the one with the smallest key.
 
     Rows with a null key, and those whose text has no words, stay.  Rows that repeat a key are one
-    document and stay or go together.  Only the keys that go are joined with the texts.
+    document and stay or go together.  Only the keys that go are joined with the texts.  Columns of any
+    name pass through.  Empty table: no rows.
     """
     groups = jaccard_components(docs.select(key, text), n, percent, classes, key=key, text=text)
-    gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+    gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
