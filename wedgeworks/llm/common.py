@@ -39,6 +39,19 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Keys at most that are sent to every executor to pick rows by.
+SENT_KEYS = 500_000
+
+
+def among(rows: DataFrame, key: str, keys: DataFrame, most: int = SENT_KEYS) -> DataFrame:
+    """The rows whose key is in ``keys`` (one column of that name, distinct).
+
+    Up to ``most`` keys go to every executor, so that the rows that don't matter are never shuffled.
+    """
+    keys = materialise(keys)
+    return rows.join(F.broadcast(keys) if keys.count() <= most else keys, key, "left_semi")
+
+
 def total_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wedgeworks.llm.common import materialise, mix64
+from wedgeworks.llm.common import among, materialise, mix64
 from wedgeworks.llm.components import components
 
 #: Least number of classes of frequent tokens, and the most prefixes that hold a rare token or pair.
@@ -178,30 +178,52 @@ def _verify(n: int, percent: int):
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose word n-gram sets reach the threshold, checked on the words."""
     kind = pairs.schema["a"].dataType.simpleString()
+    pairs = materialise(pairs)
+    texts = among(texts, "doc_id", _ends(pairs))
     with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("_text").alias("_ta")), "a")
     both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("_text").alias("_tb")), "b").select("a", "b", "_ta", "_tb")
     return materialise(both.mapInArrow(_verify(n, percent), f"a {kind}, b {kind}").distinct())
 
 
-def plausible(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose prefixes share as many tokens as the threshold demands; no linked pair goes.
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+
+
+def _least_common(percent: int):
+    """Prefix tokens that linked sets share, at least: of sizes _na and _nb, with prefixes of _la and _lb tokens.
 
     Sets of n and m tokens that link have t = percent (n + m) / (100 + percent) in common.  A set's prefix
     lacks at most n - t of these, and common tokens come in one order, so the two prefixes share the
     lesser of what each has left.
     """
-    side = lambda x: prefixes.select(F.col("doc_id").alias(x), F.col("size").alias(f"_n{x}"), F.col("prefix").alias(f"_p{x}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     common = F.expr(f"({percent}L * (_na + _nb) + {percent + 99}L) div {100 + percent}L")
-    least = F.least(*(F.size(f"_p{x}") - F.col(f"_n{x}") + common for x in "ab"))
-    return both.where(F.size(F.array_intersect("_pa", "_pb")) >= least).select("a", "b")
+    return F.least(*(F.col(f"_l{x}") - F.col(f"_n{x}") + common for x in "ab"))
+
+
+def plausible(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose prefixes share as many tokens as the threshold demands; no linked pair goes."""
+    prefixes = among(prefixes, "doc_id", _ends(pairs))
+    side = lambda x: prefixes.select(F.col("doc_id").alias(x), F.col("size").alias(f"_n{x}"), F.col("prefix").alias(f"_p{x}"), F.size("prefix").alias(f"_l{x}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    return both.where(F.size(F.array_intersect("_pa", "_pb")) >= _least_common(percent)).select("a", "b").distinct()
+
+
+def _enough(pairs: DataFrame, sets: DataFrame, celled: DataFrame, percent: int, rare: int) -> DataFrame:
+    """The pairs (a, b, shared) that may share enough prefix tokens: ``shared`` rare ones, and of frequent ones
+    at most what either has.  Sizes alone are compared here, no tokens."""
+    frequent = celled.where(F.col("_held") > rare).groupBy(F.col("node").alias("doc_id")).agg(F.countDistinct("token").alias("_f"))
+    plain = sets.select("doc_id", "size", F.size("prefix").alias("_l")).join(frequent, "doc_id", "left").groupBy("doc_id", "size").agg(F.max("_l").alias("_l"), F.max(F.coalesce("_f", F.lit(0))).alias("_f"))
+    side = lambda x: plain.select(F.col("doc_id").alias(x), F.col("size").alias(f"_n{x}"), F.col("_l").alias(f"_l{x}"), F.col("_f").alias(f"_f{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(F.col("shared") + F.least("_fa", "_fb") >= _least_common(percent)).select("a", "b").distinct()
 
 
 def _apart(index: DataFrame, near) -> DataFrame:
-    """Pairs (a, b) of different components that share a key of the index (key, cell, node, n, band, component)."""
+    """Pairs (a, b) of different components that share a key of the index (key, cell, node, n, band, component,
+    one), with the sum of ``one`` over the keys."""
     right = index.select("key", "cell", F.col("node").alias("b"), F.col("n").alias("m"), F.col("band").alias("_band"), F.col("component").alias("_other"))
     met = (F.col("node") < F.col("b")) & (F.col("component") != F.col("_other")) & near(F.col("n"), F.col("m")) & (F.greatest("band", "_band") == F.col("cell"))
-    return index.join(right, ["key", "cell"]).where(met).select(F.col("node").alias("a"), "b").distinct()
+    return index.join(right, ["key", "cell"]).where(met).groupBy(F.col("node").alias("a"), "b").agg(F.sum("one").alias("shared"))
 
 
 def _with_component(rows: DataFrame, group: DataFrame) -> DataFrame:
@@ -216,7 +238,7 @@ def _met_often(hot: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     one token more than the rest of the allowance is sure to meet.
     """
     kind = hot.schema["node"].dataType.simpleString()
-    own = texts.join(hot.select(F.col("node").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("node"), "_text")
+    own = among(texts, "doc_id", hot.select(F.col("node").alias("doc_id"))).select(F.col("doc_id").alias("node"), "_text")
     sets = own.mapInArrow(_tokens(n), f"node {kind}, h1 long, tokens array<long>").distinct()
     sets = sets.select("node", "h1", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
     sets = materialise(sets)
@@ -255,13 +277,13 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, classes:
     own = linkable.where(F.col("size") > classes).join(member, ["doc_id", *same], "left_anti")
     member = member.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     entry = own.select(F.col("doc_id").alias("node"), F.col("size").cast("int").alias("n"), "band", F.explode("prefix").alias("token"))
-    tokens = entry.groupBy("token").agg(F.count("*").alias("held"), F.min(F.struct("node", "n")).alias("_lo"), F.max(F.struct("node", "n")).alias("_hi")).where("held > 1")
-    entry = materialise(entry.join(tokens, "token"))
+    entry = materialise(entry.join(entry.groupBy("token").agg(F.count("*").alias("held")).where("held > 1"), "token"))
 
     near = lambda x, y: (100 * F.least(x, y)) >= percent * F.greatest(x, y)
     pair = lambda rows: materialise(rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     center = F.explode(F.array("_lo", "_hi")).alias("_c")
-    first = entry.select("node", "n", center).where(F.col("node") != F.col("_c.node")).where(near(F.col("n"), F.col("_c.n")))
+    ends = entry.groupBy("token").agg(F.min(F.struct("node", "n")).alias("_lo"), F.max(F.struct("node", "n")).alias("_hi"))
+    first = entry.join(ends, "token").select("node", "n", center).where(F.col("node") != F.col("_c.node")).where(near(F.col("n"), F.col("_c.n")))
     first = first.groupBy(F.col("node").alias("b"), F.col("_c.node").alias("a")).agg(F.count("*").alias("_shared")).where(F.col("_shared") > classes // 2)
     done = pair(first)
     links = verified(plausible(done, sets, percent), texts, n, percent)
@@ -271,18 +293,18 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, classes:
     split = lambda rows, by: rows.groupBy(*by).agg(F.count("*").alias("_held"), F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x != _y").select(*by, "_held")
     rest = materialise(known.join(split(known, ["token"]).drop("_held"), "token"))
     none = F.lit(-1)
-    index = rest.where(F.col("held") <= rare).select(F.col("token").alias("key"), none.alias("cell"), "node", "n", none.alias("band"), "component")
+    index = rest.where(F.col("held") <= rare).select(F.col("token").alias("key"), none.alias("cell"), "node", "n", none.alias("band"), "component", F.lit(1).alias("one"))
     celled = rest.where(F.col("held") > rare).select("token", "node", "n", "band", "component", F.explode(F.array("band", F.col("band") + 1)).alias("cell"))
     celled = materialise(celled.join(split(celled, ["token", "cell"]), ["token", "cell"]))
-    keyed = lambda rows, *by: rows.select(F.xxhash64(*by).alias("key"), "cell", "node", "n", "band", "component")
-    index = index.unionByName(keyed(celled.where(F.col("_held") <= rare), "token"))
+    keyed = lambda rows, one, *by: rows.select(F.xxhash64(*by).alias("key"), "cell", "node", "n", "band", "component", F.lit(one).alias("one"))
+    index = index.unionByName(keyed(celled.where(F.col("_held") <= rare), 1, "token"))
     number = F.element_at(F.array(*map(F.lit, bands.classes)), F.col("cell") + 1)
     many = celled.where(F.col("_held") > rare).withColumn("_class", F.pmod(F.col("token"), number))
     other = many.select("node", "cell", "_class", F.col("token").alias("_second"))
-    paired = keyed(many.join(other, ["node", "cell", "_class"]).where("token < _second"), "token", "_second")
+    paired = keyed(many.join(other, ["node", "cell", "_class"]).where("token < _second"), 0, "token", "_second")
     paired = materialise(paired.join(split(paired, ["key", "cell"]), ["key", "cell"]))
     index = index.unionByName(paired.where(F.col("_held") <= rare).drop("_held"))
-    candidates = _apart(index, near)
+    second = _enough(_apart(index, near), sets, celled, percent, rare)
 
     hot = materialise(paired.where(F.col("_held") > rare).select("node").distinct())
     if not hot.isEmpty():
@@ -300,9 +322,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, classes:
         left = left.join(split(left, ["token"]).drop("_held"), "token")
         right = left.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("_most").alias("_other_most"), F.col("component").alias("_other"))
         met = (F.col("node") < F.col("b")) & (F.col("component") != F.col("_other")) & (F.col("m") <= F.col("_most")) & (F.col("n") <= F.col("_other_most")) & near(F.col("n"), F.col("m"))
-        candidates = candidates.unionByName(left.join(right, "token").where(met).select(F.col("node").alias("a"), "b").distinct())
+        second = second.unionByName(left.join(right, "token").where(met).select(F.col("node").alias("a"), "b").distinct())
         done = done.unionByName(round_)
-    second = pair(candidates).join(done, ["a", "b"], "left_anti")
+    second = pair(second).join(done, ["a", "b"], "left_anti")
     links = links.unionByName(verified(plausible(second, sets, percent), texts, n, percent)).unionByName(member)
     final = components(links)
     return sets.join(final, sets["doc_id"] == final["node"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
