@@ -333,3 +333,13 @@ def test_mixed_clashing_columns(spark, docs, rows):
     assert all(r[n] == f"mine {n}" for r in found for n in names)
     want = sorted(r["doc_id"] for r in mixing.mixed(docs).collect())
     assert sorted(r["doc_id"] for r in found) == want
+
+
+def test_line_dedup_large_ids_and_long_runs(spark, docs):
+    """Ids above 2^53 beside a null one; hashes of more rows than a task holds."""
+    line, big = "a line that many documents have in common", 1 << 60
+    texts = [(big, line), (big + 1, f"x\n{line}"), (big + 2, line.upper()), (None, line), (5, "short"), (big + 2, f"{line}\n{line}")]
+    every = spark.createDataFrame([(d, t, "en", "s", 0, 1, "x") for d, t in texts], docs.schema)
+    for options in ({}, {"batch": 2}, {"batch": 0}, {"batch": 1, "partitions": 1}):
+        got = sorted((r["doc_id"] or 0, r["n_lines"], r["n_dropped"]) for r in lines.deduplicated(every, **options).collect())
+        assert got == [(0, 1, 1), (5, 1, 0), (big, 1, 1), (big + 1, 2, 1), (big + 2, 1, 0), (big + 2, 2, 0)], options

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import gc
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,11 +25,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is named."""
+    """The cluster's shared folder; one beside the warehouse's tables only where none is named."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="checkpoints-")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"  # shared like the tables
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)
     return found
@@ -103,6 +105,27 @@ def pieces(parts, rows: int = 256):
             yield part.slice(at, rows)
 
 
+def release() -> None:
+    """Give the system back what a worker no longer needs: workers live on from task to task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has one
+    if trim:
+        trim(0)
+
+
+def freed(run):
+    """``run``, an iterator over batches, that leaves the worker small when it ends."""
+
+    def wrapped(parts):
+        try:
+            yield from run(parts)
+        finally:
+            release()
+
+    return wrapped
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit values: a mixer of two multiplications (a published one-to-one mapping)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -22,6 +22,7 @@ from wedgeworks.llm.common import materialise, shuffle_partitions
 
 MIN_POINTS = 20
 MIN_DOCUMENTS = 3
+#: Rows of one hash that a task holds; those of a longer run are passed on undecided.
 BATCH = 1 << 16
 
 
@@ -54,74 +55,90 @@ def _extract(parts):
         yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), doc, text_hash, pa.array(at, pa.int32())], ["h1", "h2", "doc_id", "text_hash", "at"])
 
 
-def _decide(min_documents: int):
-    """Stream of one sorted partition: lines to drop for sure, and those of hashes at its edges.
+def _comparable(doc: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a key column, and where it is null.  Integers stay integers: as floats, large ones would be equal."""
+    nulls = doc.is_null().to_numpy(zero_copy_only=False)
+    return (doc.fill_null(0) if pa.types.is_integer(doc.type) else doc).to_numpy(zero_copy_only=False), nulls
 
-    kind 0: drop the line (doc_id, text_hash, at).  1: undecided line.  2: what the partition knows of an edge hash:
-    ``n`` documents here, greatest one ``doc_id``.
+
+def _changes(doc: pa.Array) -> np.ndarray:
+    """Where a document differs from the one before it; True at the first."""
+    value, nulls = _comparable(doc)
+    new = np.ones(len(doc), bool)
+    new[1:] = ((value[1:] != value[:-1]) & ~(nulls[1:] & nulls[:-1])) | (nulls[1:] != nulls[:-1])
+    return new
+
+
+def _decide(min_documents: int, batch: int = BATCH):
+    """Stream of one sorted partition: lines to drop for sure, and those of hashes that it can't decide.
+
+    kind 0: drop the line (doc_id, text_hash, at).  1: undecided line.  2: what the partition knows of the hash of
+    undecided lines: ``n`` documents here, greatest one ``doc_id``.  Undecided are the first and the last hash of the
+    partition, whose rows may go on in others, and hashes of more than ``batch`` rows, which are not held in memory.
     """
 
     def run(parts):
         columns = ["h1", "h2", "doc_id", "text_hash", "at"]
+        held: list[pa.RecordBatch] = []  # rows of the open hash
+        passed, last = 0, None  # of its rows passed on: documents, and a slice with the last row
 
         def out(kind, h1, h2, doc, text_hash, at, n):
             return pa.RecordBatch.from_arrays([pa.array(kind, pa.int8()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), doc, text_hash, pa.array(at, pa.int32()), pa.array(n, pa.int64())], ["kind", *columns, "n"])
 
-        def emit(run_rows, edge):
-            """Rows of one hash in ascending order of document."""
-            t = pa.Table.from_batches(run_rows) if isinstance(run_rows, list) else run_rows
-            doc = t.column("doc_id").combine_chunks()
-            size = len(doc)
-            other = doc.to_numpy(zero_copy_only=False)
-            nulls = doc.is_null().to_numpy(zero_copy_only=False)
-            new = np.ones(size, bool)
-            new[1:] = (other[1:] != other[:-1]) & ~(nulls[1:] & nulls[:-1])
-            n = int(new.sum())
-            h1, h2 = (t.column(c).to_numpy() for c in ("h1", "h2"))
-            text_hash, at = t.column("text_hash").combine_chunks(), t.column("at").to_numpy()
-            if edge:
-                yield out(np.ones(size, np.int8), h1, h2, doc, text_hash, at, np.zeros(size, np.int64))
-                yield out([2], h1[-1:], h2[-1:], doc.slice(size - 1), text_hash.slice(size - 1), [0], [n])
-            elif n >= min_documents:
-                gone = np.flatnonzero(np.cumsum(new) < n)
-                take = pa.array(gone)
-                yield out(np.zeros(len(gone), np.int8), h1[gone], h2[gone], doc.take(take), text_hash.take(take), at[gone], np.zeros(len(gone), np.int64))
-
-        # rows of the hash that is still open; a hash of many rows is passed on as undecided while it streams
-        first, held, size = True, [], 0
+        def pass_on():
+            nonlocal held, passed, last
+            for t in held:
+                new, size = _changes(t.column("doc_id")), t.num_rows
+                if last is not None and last.column("doc_id")[0].as_py() == t.column("doc_id")[0].as_py():
+                    new[0] = False
+                passed, last = passed + int(new.sum()), t.slice(size - 1)
+                yield out(np.ones(size, np.int8), t.column("h1"), t.column("h2"), t.column("doc_id"), t.column("text_hash"), t.column("at"), np.zeros(size, np.int64))
+            held = []
+
+        def close(edge):
+            """The open hash has no more rows here."""
+            nonlocal held, passed, last
+            if edge or passed:
+                yield from pass_on()
+                yield out([2], last.column("h1"), last.column("h2"), last.column("doc_id"), last.column("text_hash"), [0], [passed])
+            elif held:
+                yield from _whole(pa.Table.from_batches(held).combine_chunks().to_batches()[0], min_documents, out)
+            held, passed, last = [], 0, None
+
+        first, open_ = True, None
         for part in parts:
             if not part.num_rows:
                 continue
             h1, h2 = part.column("h1").to_numpy(), part.column("h2").to_numpy()
             cuts = np.flatnonzero((h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])) + 1
-            if held and (held[-1].column("h1")[-1].as_py(), held[-1].column("h2")[-1].as_py()) != (h1[0], h2[0]):
-                yield from emit(held, first)
-                first, held, size = False, [], 0
-            if not len(cuts):
-                held.append(part)
-                size += part.num_rows
-                continue
-            yield from emit([*held, part.slice(0, cuts[0])], first)
-            first = False
-            yield from _whole(part.slice(cuts[0], cuts[-1] - cuts[0]), emit, min_documents, out)
-            held, size = [part.slice(cuts[-1])], part.num_rows - int(cuts[-1])
-        if held:
-            yield from emit(held, True)
+            if open_ not in (None, (h1[0], h2[0])):
+                yield from close(first)
+                first = False
+            open_ = (h1[-1], h2[-1])
+            if len(cuts):
+                held.append(part.slice(0, cuts[0]))
+                yield from close(first)
+                first = False
+                yield from _whole(part.slice(cuts[0], cuts[-1] - cuts[0]), min_documents, out)
+                part = part.slice(cuts[-1])
+            held.append(part)
+            if sum(x.num_rows for x in held) > batch:
+                yield from pass_on()
+        if open_ is not None:
+            yield from close(True)
 
     return run
 
 
-def _whole(t: pa.RecordBatch, emit, min_documents: int, out):
+def _whole(t: pa.RecordBatch, min_documents: int, out):
     """Decide many complete hashes at once."""
     if not t.num_rows:
         return
     h1, h2 = t.column("h1").to_numpy(), t.column("h2").to_numpy()
     doc = t.column("doc_id")
-    other, nulls = doc.to_numpy(zero_copy_only=False), doc.is_null().to_numpy(zero_copy_only=False)
     start = np.ones(len(h1), bool)
     start[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-    new = start.copy()
-    new[1:] |= (other[1:] != other[:-1]) & ~(nulls[1:] & nulls[:-1])
+    new = start | _changes(doc)
     group = np.cumsum(start) - 1
     number = np.bincount(group, weights=new).astype(np.int64)
     seen = np.cumsum(new) - np.concatenate([[0], np.cumsum(number)[:-1]])[group]
@@ -130,7 +147,7 @@ def _whole(t: pa.RecordBatch, emit, min_documents: int, out):
     yield out(np.zeros(len(gone), np.int8), h1[gone], h2[gone], doc.take(take), t.column("text_hash").take(take), t.column("at").to_numpy()[gone], np.zeros(len(gone), np.int64))
 
 
-def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_documents: int = MIN_DOCUMENTS, partitions: int | None = None) -> DataFrame:
+def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_documents: int = MIN_DOCUMENTS, partitions: int | None = None, batch: int = BATCH) -> DataFrame:
     """Lines to drop: doc_id, text_hash (xxhash64 of the text), at (line number from 0).
 
     Lines whose key (see ``line_key``) has at least MIN_POINTS code points and is found in at least
@@ -143,9 +160,9 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     order = ["h1", "h2", "doc_id", "text_hash", "at"]
     # a range ends between documents, so that each document of a hash is in one partition
     dealt = lines.repartitionByRange(n, "h1", "h2", "doc_id").sortWithinPartitions(*order)
-    found = materialise(dealt.mapInArrow(_decide(min_documents), f"kind byte, h1 long, h2 long, doc_id {kind}, text_hash long, at int, n long"))
+    found = materialise(dealt.mapInArrow(_decide(min_documents, batch), f"kind byte, h1 long, h2 long, doc_id {kind}, text_hash long, at int, n long"))
     sure = found.where("kind = 0").select("doc_id", "text_hash", "at")
-    # at most two hashes a partition reach its edges
+    # at most two hashes a partition reach its edges, and one more for each `batch` rows is longer
     edges = found.where("kind = 2").groupBy("h1", "h2").agg(F.sum("n").alias("_n"), F.max("doc_id").alias("_last")).where(F.col("_n") >= min_documents)
     rest = found.where("kind = 1").join(F.broadcast(edges), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("_last")))
     return sure.unionByName(rest.select("doc_id", "text_hash", "at"))
@@ -163,7 +180,8 @@ def drop_bitmaps(docs: DataFrame, **options) -> DataFrame:
 
     Null and empty texts: one empty line, which stays.  Null doc_id: a document of its own,
     smallest of all.  Rows that repeat a doc_id count as one document; those with equal text have
-    one bitmap.  Empty table: no rows.  Other columns are ignored.
+    one bitmap.  A text's lines are in memory at a time, however many.  Empty table: no rows.  Other
+    columns are ignored, whatever their names.
     """
     gone = dropped_lines(docs, **options)
     kind = gone.schema["doc_id"].dataType.simpleString()

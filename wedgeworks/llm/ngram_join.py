@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wedgeworks.llm.common import among, materialise, mix64
+from wedgeworks.llm.common import among, freed, materialise, mix64, pieces
 from wedgeworks.llm.components import components
 
 #: Least number of classes of frequent tokens, and the most prefixes that hold a rare token or pair.
@@ -38,13 +38,15 @@ PER_CLASS = 8
 #: A token in at least this share of a batch's documents may be frequent in the corpus; the list of these is
 #: bounded by mean set size / share, whatever the number of documents.
 COMMON = 1 / 200
+#: Words whose hashes a worker keeps, and rows it holds as objects at a time.
+MEMO, ROWS = 100_000, 128
 LEAST_BATCH = 200
 
 
 class _Hashes(dict):
     def __missing__(self, word):
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 300_000:
+        if len(self) < MEMO:
             self[word] = value
         return value
 
@@ -99,7 +101,7 @@ def _common(n: int):
             pick = count >= max(3, COMMON * docs)
             return pa.RecordBatch.from_arrays([pa.array(found[pick].view(np.int64)), pa.array(count[pick].astype(np.int64))], ["token", "n"])
 
-        for part in parts:
+        for part in pieces(parts, ROWS):
             for text in part.column(0).to_pylist():
                 held.append(shingle_hashes(text, n, words))
                 docs += 1
@@ -115,7 +117,7 @@ def _common(n: int):
 def common_tokens(texts: DataFrame, n: int, total: int) -> list[int]:
     """Tokens that batches all over the corpus report often: a token in a share COMMON of all documents is
     reported by some batch.  Only the order of tokens depends on this list, never the result."""
-    found = texts.mapInArrow(_common(n), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = texts.mapInArrow(freed(_common(n)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     return [r["token"] for r in found.where(F.col("n") >= max(3, COMMON / 2 * total)).select("token").collect()]
 
 
@@ -124,7 +126,7 @@ def _sets(n: int, percent: int, bands: Bands, common: bytes):
 
     def run(parts):
         words, last = _Hashes(), np.frombuffer(common, np.uint64)
-        for part in parts:
+        for part in pieces(parts, ROWS):
             size, band, h1, h2, prefix = [], [], [], [], []
             for text in part.column("_text").to_pylist():
                 found = shingle_hashes(text, n, words)
@@ -151,7 +153,7 @@ def _tokens(n: int):
 
     def run(parts):
         words = _Hashes()
-        for part in parts:
+        for part in pieces(parts, ROWS):
             found = [shingle_hashes(t, n, words) for t in part.column("_text").to_pylist()]
             h1 = [(xxhash.xxh3_128_intdigest(x.tobytes()) >> 64) - (1 << 63) for x in found]
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(h1, pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["node", "h1", "tokens"])
@@ -161,7 +163,7 @@ def _tokens(n: int):
 
 def _verify(n: int, percent: int):
     def run(parts):
-        for part in parts:
+        for part in pieces(parts, ROWS):
             keep = []
             previous, left = None, set()
             for x, y in zip(part.column("_ta").to_pylist(), part.column("_tb").to_pylist(), strict=True):
@@ -182,7 +184,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     texts = among(texts, "doc_id", _ends(pairs))
     with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("_text").alias("_ta")), "a")
     both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("_text").alias("_tb")), "b").select("a", "b", "_ta", "_tb")
-    return materialise(both.mapInArrow(_verify(n, percent), f"a {kind}, b {kind}").distinct())
+    return materialise(both.mapInArrow(freed(_verify(n, percent)), f"a {kind}, b {kind}").distinct())
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -239,7 +241,7 @@ def _met_often(hot: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     """
     kind = hot.schema["node"].dataType.simpleString()
     own = among(texts, "doc_id", hot.select(F.col("node").alias("doc_id"))).select(F.col("doc_id").alias("node"), "_text")
-    sets = own.mapInArrow(_tokens(n), f"node {kind}, h1 long, tokens array<long>").distinct()
+    sets = own.mapInArrow(freed(_tokens(n)), f"node {kind}, h1 long, tokens array<long>").distinct()
     sets = sets.select("node", "h1", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
     sets = materialise(sets)
     held = sets.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
@@ -268,7 +270,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, classes:
     texts = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     often = np.sort(np.array(common_tokens(texts.select("_text"), n, texts.count()), np.int64).view(np.uint64)).tobytes()
-    sets = materialise(texts.mapInArrow(_sets(n, percent, bands, often), f"doc_id {kind}, size long, band int, h1 long, h2 long, prefix array<long>"))
+    sets = materialise(texts.mapInArrow(freed(_sets(n, percent, bands, often)), f"doc_id {kind}, size long, band int, h1 long, h2 long, prefix array<long>"))
     linkable = sets.where("size > 0 and doc_id is not null")
     same = ["h1", "h2", "size"]
     nodes = materialise(linkable.groupBy(*same).agg(F.min("doc_id").alias("node"), F.count("*").alias("_n")).where("_n > 1").select(*same, "node"))

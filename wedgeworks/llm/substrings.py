@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wedgeworks.llm.common import total_bytes
+from wedgeworks.llm.common import mix64, release, total_bytes
 from wedgeworks.llm.suffixes import Hashes, equal_classes, sort_within
 
 LENGTH, PIECE = 50, 20
@@ -33,12 +33,6 @@ SHORT = 5
 NULL = -(1 << 63)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(32))
-
-
 def _least(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each ``width`` consecutive values."""
     done = 1
@@ -96,7 +90,7 @@ class Anchors:
         if n < LENGTH:
             return
         hashes = Hashes(self.raw)
-        pieces = _mix(hashes.of(np.arange(n - PIECE + 1), PIECE))
+        pieces = mix64(hashes.of(np.arange(n - PIECE + 1), PIECE))
         packed = (pieces >> np.uint64(24) << np.uint64(24)) | np.arange(len(pieces), dtype=np.uint64)
         anchor = (_least(packed, LENGTH - PIECE + 1) & np.uint64((1 << 24) - 1)).astype(np.int64)
         start = np.arange(n - LENGTH + 1)
@@ -311,6 +305,10 @@ def earlier_strings(head: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.where(head["doc"][leader] < head["doc"], full, bits[leader])
 
 
+#: Contexts that are sorted at a time, unless one anchor has more.
+CONTEXTS = 4096
+
+
 def _decide(key, rows):
     tool = zstandard.ZstdDecompressor()
     heads, datas, buckets = [], [], rows.column("bucket").to_pylist()
@@ -319,7 +317,20 @@ def _decide(key, rows):
         raw = tool.decompress(data[4:])
         heads.append(np.frombuffer(raw[: n * HEADER.itemsize], HEADER))
         datas.append(raw[n * HEADER.itemsize :])
-    bits = earlier_strings(np.concatenate(heads), np.frombuffer(b"".join(datas), np.uint8))
+    head, datas = np.concatenate(heads), b"".join(datas)
+    size = head["size"].astype(np.int64)
+    start = np.cumsum(size) - size
+    # a few anchors at a time, each with all of its contexts
+    order = np.argsort(head["hash"], kind="stable")
+    ranked = head["hash"][order]
+    cuts = np.append(np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])), len(order)).tolist()
+    bits, begin = np.zeros(len(head), np.uint64), 0
+    for here, after in zip(cuts[1:], [*cuts[2:], None]):
+        if after is None or after - begin > CONTEXTS:
+            some = order[begin:here]
+            raw = b"".join([datas[a:e] for a, e in zip(start[some].tolist(), (start[some] + size[some]).tolist())])
+            bits[some] = earlier_strings(head[some], np.frombuffer(raw, np.uint8))
+            begin = here
     out = {"place": [], "bucket": [], "data": []}
     at = 0
     for b, h in zip(buckets, heads, strict=True):
@@ -410,6 +421,18 @@ def _once(n: int):
     return run
 
 
+def _released(run):
+    """``run`` for a group; what it needed goes back to the system."""
+
+    def wrapped(key, *tables):
+        out = run(key, *tables)
+        release()
+        return out
+
+    # the number of parameters says whether the key is wanted
+    return (lambda key, rows: wrapped(key, rows)) if run.__code__.co_argcount == 2 else wrapped
+
+
 def removed_strings(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends (removed runs).
 
@@ -425,13 +448,14 @@ def removed_strings(docs: DataFrame, key: str = "doc_id", text: str = "text", bu
     dealt = rows.mapInArrow(_once(n), "bucket long, sha binary, doc long, text binary")
     place = "place long, bucket long, data binary"
     bucket = lambda df: df.groupBy("bucket")
-    hashes = bucket(dealt).applyInArrow(_send_hashes(n), place)
-    replies = hashes.groupBy("place").applyInArrow(_find_shared, place)
-    contexts = bucket(dealt).cogroup(bucket(replies)).applyInArrow(_send_contexts(n), place)
-    masks = contexts.groupBy("place").applyInArrow(_decide, place)
+    hashes = bucket(dealt).applyInArrow(_released(_send_hashes(n)), place)
+    replies = hashes.groupBy("place").applyInArrow(_released(_find_shared), place)
+    send = _released(_send_contexts(n))
+    contexts = bucket(dealt).cogroup(bucket(replies)).applyInArrow(lambda key, left, right: send(key, left, right), place)
+    masks = contexts.groupBy("place").applyInArrow(_released(_decide), place)
     # the two kinds of reply travel together, so that the last step is one cogroup
     both = replies.withColumn("kind", F.lit(0)).unionByName(masks.withColumn("kind", F.lit(1)))
-    finish = _finish(n)
+    finish = _released(_finish(n))
 
     def last(group, left, right):
         import pyarrow.compute as pc
