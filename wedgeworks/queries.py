@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +36,7 @@ def _nv(spark: SparkSession, sf_dir: str) -> int:
 
 def _work_path(spark: SparkSession, name: str) -> str:
     context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or tempfile.mkdtemp(prefix="graph-")
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/_graphs"
     return f"{base.removeprefix('file:')}/{name}-{uuid.uuid4().hex}"
 
 
