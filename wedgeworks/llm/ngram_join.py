@@ -233,7 +233,8 @@ def _with_component(rows: DataFrame, group: DataFrame) -> DataFrame:
 
 
 def _met_often(hot: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """(node, n, alone, token): of the nodes ``hot``, each one's rarest shared tokens, ``alone`` of n being its own.
+    """(node, n, alone, token, at): of the nodes ``hot``, each one's rarest shared tokens and their places, ``alone`` of
+    the n tokens, which come first, being its own.
 
     Tokens are ranked by how many of these nodes hold them.  A set lacks at most allowed(n) tokens of a linked
     one, and lacks all of those that it alone holds: beyond that number it has no links here; else
@@ -248,7 +249,8 @@ def _met_often(hot: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     per = sets.join(held, "token").groupBy("node", "h1", "n").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("_t"))  # bounded by a set's size
     spare = F.expr(f"n - (n * {percent}L + 99) div 100").cast("int")
     per = per.withColumn("alone", F.col("n") - F.size("_t")).where(F.col("alone") <= spare)
-    return per.select("node", "n", "alone", F.explode(F.slice("_t", F.lit(1), (spare - F.col("alone") + 1).cast("int"))["token"]).alias("token"))
+    some = F.slice("_t", F.lit(1), (spare - F.col("alone") + 1).cast("int"))["token"]
+    return per.select("node", "n", "alone", F.posexplode(some).alias("at", "token")).withColumn("at", F.col("alone") + F.col("at"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, classes: int = CLASSES, rare: int = RARE, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -318,8 +320,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, classes:
         found = verified(plausible(round_.join(done, ["a", "b"], "left_anti"), sets, percent), texts, n, percent)
         links = links.unionByName(found)
         group = components(links)
-        # the largest set that a set can link with, if all that it shares with others is common to both
-        reach = F.expr(f"({100 + percent}L * (n - alone)) div {percent} - n")
+        # the largest set that a set can link with, if this token is the first that they have in common: those
+        # before it are then not in the other one.  A pair that links passes at its first token.
+        reach = F.expr(f"({100 + percent}L * (n - at)) div {percent} - n")
         left = _with_component(ranked.withColumn("_most", reach), group)
         left = left.join(split(left, ["token"]).drop("_held"), "token")
         right = left.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("_most").alias("_other_most"), F.col("component").alias("_other"))
