@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from wedgeworks.llm.common import pieces
 
@@ -277,12 +278,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
     Null or empty texts and items match nothing.  Null or repeated doc_ids pass through: each row
     has its own matches.  Repeated item_ids are items of their own, and one row each.  Empty tables:
-    no rows.  Other columns are ignored.  Items go to the executors PASS_BYTES at a time, with a
+    no rows.  Texts of any length are matched whole, STEP words at a time.  Item ids may have any type.  Other
+    columns are ignored, whatever their names.  Items go to the executors PASS_BYTES at a time, with a
     pass over the documents for each.
     """
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, similarity double, first_word int, distance int"
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("_text"))
+    item_type = to_arrow_type(benchmark.schema[item_key].dataType)
     out = docs.sparkSession.createDataFrame([], schema)
     for k, carried in enumerate(_indexes(benchmark, item_key, item_text)):
 
@@ -296,7 +299,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
                         at.append(i)
                         found.append((index.ids[item], s, first, distance))
                 item, s, first, distance = zip(*found, strict=True) if found else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(item, pa.string() if item_kind == "string" else pa.int64()), pa.array(s, pa.float64()), pa.array(first, pa.int32()), pa.array(distance, pa.int32())], ["doc_id", "item_id", "similarity", "first_word", "distance"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(item, item_type), pa.array(s, pa.float64()), pa.array(first, pa.int32()), pa.array(distance, pa.int32())], ["doc_id", "item_id", "similarity", "first_word", "distance"])
 
         out = out.unionByName(rows.mapInArrow(run, schema)) if k else rows.mapInArrow(run, schema)
     return out
@@ -305,7 +308,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 def without_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, in which no benchmark item is found (see ``contaminated``).
 
-    Null or empty texts stay.  Rows are judged one by one: null or repeated keys don't matter.
+    Null or empty texts stay; so do all rows if there are no items.  Columns of any name pass through.  Rows are judged one by one: null or repeated keys don't matter.
     Nothing is shuffled.
     """
     at = docs.columns.index(text)

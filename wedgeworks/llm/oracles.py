@@ -54,7 +54,7 @@ SELECT doc_id, count(*) n_lines, count(*) FILTER (WHERE gone) n_dropped,
 FROM judged GROUP BY r, doc_id"""
 
 OP4 = rf"""
-WITH RECURSIVE d AS (SELECT doc_id, source, source IS NULL nul, coalesce(source, '') s,
+WITH d AS MATERIALIZED (SELECT doc_id, source, source IS NULL nul, coalesce(source, '') s,
     CAST(coalesce(len(regexp_extract_all(text, '{WORDS}')), 0) AS BIGINT) size, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) h FROM documents),
 sizes AS (SELECT nul, s, CAST(sum(size) AS BIGINT) source_size FROM d GROUP BY ALL),
 ranked AS (SELECT *, (row_number() OVER (ORDER BY nul, s) - 1) % 3 + 1 weight, 3 * source_size cap FROM sizes),
@@ -65,14 +65,14 @@ levels AS (SELECT *, CAST(total - caps AS DOUBLE) / CAST(alls - weights AS DOUBL
 cut AS (SELECT arg_min(lev, (ratio, nul, s)) FILTER (WHERE ratio >= lev) lvl FROM levels),
 sources AS (SELECT nul, s, source_size, CASE WHEN lvl IS NULL THEN CAST(cap AS DOUBLE) ELSE least(CAST(cap AS DOUBLE), weight * lvl) END target,
     CAST(greatest(1, (total + 65535) // 65536) AS BIGINT) block, CAST(total AS BIGINT) total FROM levels, cut),
-sb AS (SELECT *, (source_size + block - 1) // block blocks, (total + block - 1) // block seats FROM sources),
+sb AS MATERIALIZED (SELECT *, (source_size + block - 1) // block blocks, (total + block - 1) // block seats FROM sources),
 quot AS (SELECT nul, s, blocks, seats, target, unnest(range(1, least(3 * blocks, CAST(floor(target / block) AS BIGINT) + (SELECT count(*) FROM sb) + 1) + 1)) k FROM sb WHERE target > 0),
-won AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, nul, s, k) seat FROM quot) WHERE seat <= seats),
+won AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, nul, s, k) seat FROM quot) WHERE seat <= seats),
 b AS (SELECT nul, s, blocks, unnest(range(0, blocks)) block_id FROM sb),
-bo AS (SELECT *, row_number() OVER (PARTITION BY nul, s ORDER BY md5(concat_ws(':', 'mix-1', CAST(nul AS VARCHAR), s, CAST(block_id AS VARCHAR))), block_id) - 1 rk FROM b),
+bo AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY nul, s ORDER BY md5(concat_ws(':', 'mix-1', CAST(nul AS VARCHAR), s, CAST(block_id AS VARCHAR))), block_id) - 1 rk FROM b),
 reps AS (SELECT bo.nul, bo.s, bo.block_id, count(k) reps FROM bo LEFT JOIN won ON bo.nul = won.nul AND bo.s = won.s AND (won.k - 1) % won.blocks = bo.rk GROUP BY ALL),
-pre AS (SELECT *, coalesce(sum(reps) OVER (PARTITION BY nul, s ORDER BY block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) before FROM reps),
-st AS (SELECT *, CAST(sum(size) OVER (PARTITION BY nul, s ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) fin FROM d),
+pre AS MATERIALIZED (SELECT *, coalesce(sum(reps) OVER (PARTITION BY nul, s ORDER BY block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) before FROM reps),
+st AS MATERIALIZED (SELECT *, CAST(sum(size) OVER (PARTITION BY nul, s ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) fin FROM d),
 x AS (SELECT st.*, source_size, target, block, fin - size ini FROM st JOIN sb ON st.nul = sb.nul AND st.s = sb.s)
 SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE
     (p1.before * block + p1.reps * (fin - p1.block_id * block)) - (p0.before * block + p0.reps * (ini - p0.block_id * block)) END AS BIGINT) taken
