@@ -36,7 +36,7 @@ ORACLES: dict = {
     "triangle_count_users": _count_of(
         "SELECT DISTINCT a.user_id u, b.user_id v FROM events a JOIN events b ON a.event_type = b.event_type AND date_trunc('hour', a.ts) = date_trunc('hour', b.ts) AND a.user_id < b.user_id"
     ),
-    "closing_edges_distinct": PRELUDE + "SELECT u AS src, v AS dst FROM e WHERE EXISTS (SELECT 1 FROM e a JOIN e b ON a.u = b.u WHERE a.v = e.u AND b.v = e.v)",
+    "closing_edges_distinct": PRELUDE + "SELECT DISTINCT c.u AS src, c.v AS dst FROM e a JOIN e b ON a.u = b.u AND a.v < b.v JOIN e c ON c.u = a.v AND c.v = b.v",
     "wedge_count": PRELUDE + "SELECT CAST(sum(d * (d - 1) // 2) AS BIGINT) AS wedges FROM (SELECT count(*) d FROM s GROUP BY head)",
     "wedge_pruned_count": PRELUDE + "SELECT count(*) AS wedges FROM w JOIN r a ON a.x = u JOIN r b ON b.x = v WHERE v <= a.mx AND v >= a.mn AND u >= b.mn",
     "wedge_locality": PRELUDE + "SELECT oh = ou AS local, count(*) AS wedges, count(s.head) AS closed FROM w LEFT JOIN s ON s.head = w.u AND s.tail = w.v GROUP BY 1",

@@ -52,27 +52,28 @@ def triangles(edges: DataFrame, orient: str = "degree") -> DataFrame:
 
 
 def _ordered_wedges(edges: DataFrame, orient: str) -> DataFrame:
+    """Two out-neighbours src < dst of each head.  By degree, a head has at most sqrt(2 |E|) of them, hubs included."""
     e = oriented(edges, orient)
     b = e.select(F.col("u").alias("h"), F.col("v").alias("y"))
     return e.select(F.col("u").alias("h"), F.col("v").alias("x")).join(b, "h").where("x < y").select("h", F.col("x").alias("src"), F.col("y").alias("dst"))
 
 
-def count_by_joins(edges: DataFrame, orient: str = "id", hint: str | None = None) -> DataFrame:
+def count_by_joins(edges: DataFrame, orient: str = "degree", hint: str | None = None) -> DataFrame:
     """Wedges joined with the edges that close them; ``hint`` names the physical join."""
     closing = edges.select("src", "dst")
     return _count(_ordered_wedges(edges, orient).join(closing.hint(hint) if hint else closing, ["src", "dst"], "left_semi"))
 
 
-def count_by_hash(edges: DataFrame, orient: str = "id") -> DataFrame:
+def count_by_hash(edges: DataFrame, orient: str = "degree") -> DataFrame:
     return count_by_joins(edges, orient, "shuffle_hash")
 
 
-def count_by_broadcast(edges: DataFrame, orient: str = "id", limit: int = BROADCAST_BYTES) -> DataFrame:
+def count_by_broadcast(edges: DataFrame, orient: str = "degree", limit: int = BROADCAST_BYTES) -> DataFrame:
     """The closing edges go to every executor if their ids fit ``limit`` bytes, else the hash plan runs."""
     return count_by_joins(edges, orient, "broadcast" if edges.count() * 16 <= limit else "shuffle_hash")
 
 
-def count_by_multiplicity(edges: DataFrame, orient: str = "id") -> DataFrame:
+def count_by_multiplicity(edges: DataFrame, orient: str = "degree") -> DataFrame:
     """Equal wedge ends are counted first, then checked once: pays on dense graphs."""
     ends = _ordered_wedges(edges, orient).groupBy("src", "dst").agg(F.count("*").alias("k"))
     return ends.join(edges, ["src", "dst"]).agg(F.coalesce(F.sum("k"), F.lit(0)).cast("long").alias("triangles"))
@@ -113,7 +114,7 @@ def _key_bits(a: str, b: str, blocks: int) -> tuple:
     return block, masks
 
 
-def count_by_bloom(edges: DataFrame, orient: str = "id", bits: int = BITS) -> DataFrame:
+def count_by_bloom(edges: DataFrame, orient: str = "degree", bits: int = BITS) -> DataFrame:
     """APPROXIMATE: wedges that a Bloom filter of the edges admits, never fewer than the triangles.
 
     The filter is a table of 256-bit blocks; each edge sets PROBES bits of one block.  It is joined by

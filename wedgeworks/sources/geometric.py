@@ -34,7 +34,8 @@ def points(spark: SparkSession, n: int, seed: int | None = None, strips: int = 1
     if seed is None:
         x, y = unit(lehmer(F.col("id"))), unit(lehmer(F.col("id") + F.lit(n)))
     else:
-        x, y = F.rand(seed), F.rand(seed + 1)
+        # by id, so that the points don't depend on the partitions
+        x, y = (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(axis)), F.lit(1 << 53)) / F.lit(float(1 << 53)) for axis in (0, 1))
     if strips > 1:
         y = F.call_function("div", F.col("id") * F.lit(strips), F.lit(n)) * F.lit(1.0 / strips) + y / F.lit(float(strips))
     return ids.select("id", x.alias("x"), y.alias("y"))
