@@ -343,3 +343,12 @@ def test_line_dedup_large_ids_and_long_runs(spark, docs):
     for options in ({}, {"batch": 2}, {"batch": 0}, {"batch": 1, "partitions": 1}):
         got = sorted((r["doc_id"] or 0, r["n_lines"], r["n_dropped"]) for r in lines.deduplicated(every, **options).collect())
         assert got == [(0, 1, 1), (5, 1, 0), (big, 1, 1), (big + 1, 2, 1), (big + 2, 1, 0), (big + 2, 2, 0)], options
+
+
+def test_decontamination_item_types(spark, docs, rows):
+    """Item ids of any type come back as they are."""
+    passage = " ".join(rows[11][1].split()[20:80])
+    for kind, value in (("int", 7), ("long", 1 << 60), ("string", "x")):
+        bench = spark.createDataFrame([(value, passage)], f"item_id {kind}, text string")
+        found = decontamination.contaminated(docs, bench)
+        assert found.schema["item_id"].dataType == bench.schema["item_id"].dataType and {r["item_id"] for r in found.collect()} == {value}
