@@ -79,7 +79,7 @@ TERMS = 11
 
 
 def build(texts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """Dictionary content from whole texts: equal slices of the trainer's pick and of raw text."""
+    """Dictionary content from whole texts: the trainer's pick of them, or the texts where they are few."""
     if not texts:
         return b""
     joined = b"\n".join(texts)
@@ -119,8 +119,8 @@ def classify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     """One row per input row: key, held_out, score, predicted, size_difference, ratio.
 
     Null text scores as the empty text, which gets a defined score from the calibration.  Null
-    or repeated keys pass through (a null key is not held out).  Texts are compressed whole.
-    Empty table: no rows.  Only the text enters a score.
+    or repeated keys pass through (a null key is not held out).  Texts of any length are compressed whole.
+    Empty table: no rows.  Only the text enters a score; other columns are ignored, whatever their names.
     """
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("doc_id"), held_out(key).alias("held_out"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
