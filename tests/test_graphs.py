@@ -108,3 +108,41 @@ def test_csr_files(spark, tmp_path, width):
         f.write(b"x")
     with pytest.raises(Exception, match="bytes"):
         csr.read_csr(spark, path, width).count()
+
+
+def test_orientation_is_settled_by_degrees(spark):
+    star = frame(spark, [(0, v) for v in range(1, 200)])
+    assert E.settled(star) == "degree" and E.settled(frame(spark, complete(7))) == "id" and E.settled(frame(spark, [])) == "id"
+    wheel = frame(spark, [(0, v) for v in range(1, 200)] + [(v, v + 1) for v in range(1, 199)])
+    assert E.settled(wheel) == "degree"
+    assert {T.triangle_count(wheel, s).first()[0] for s in ("array", "join", "multiplicity", "bloom_verified")} == {198}
+
+
+def test_bloom_shape_and_tolerance(spark):
+    assert T.bloom_shape(1000, 1e-9) == (44168, 30)
+    assert T.bloom_shape(1, 0.5)[1] == 1 and T.bloom_shape(0)[0] > 0
+    with pytest.raises(ValueError):
+        T.bloom_shape(10, 1.0)
+    edges = frame(spark, karate())
+    exact = T.triangle_count(edges).first()[0]
+    assert T.count_by_bloom(edges).first()[0] == exact <= T.count_by_bloom(edges, tolerance=0.5).first()[0]
+    assert T.count_by_bloom_verified(edges, tolerance=0.5).first()[0] == exact
+
+
+def test_owners_by_cuts_and_local_ids(spark):
+    cuts = [0, 3, 3, 9, 30]
+    got = spark.range(30).select(O.owner_by_cuts(F.col("id"), cuts)).collect()
+    assert [r[0] for r in got] == [max(p for p, c in enumerate(cuts) if c <= v) for v in range(30)]
+    rows = O.local_ids(spark.range(30), 30, 4).withColumn("back", O.global_id(F.col("local"), F.col("owner"), 30, 4)).collect()
+    assert all(r["back"] == r["id"] and 0 <= r["local"] < 9 for r in rows)
+    assert {(r["owner"], r["local"]) for r in rows if r["local"] == 0} == {(p, 0) for p in range(4)}
+
+
+def test_command_line(spark, capsys):
+    from wedgeworks.cli import main
+
+    report = main(["-n", "64", "-l", "-P", "4", "--print"])
+    assert (report["entries"], report["triangles"]) == (296, 126) and report["teps"] > 0
+    assert '"triangles": 126' in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main([])

@@ -40,6 +40,18 @@ def oriented(edges: DataFrame, by: str = "degree") -> DataFrame:
     return ranked.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("v"))
 
 
+def settled(edges: DataFrame, by: str = "auto") -> str:
+    """The orientation to use: of ``auto``, ``id`` where no vertex has more than sqrt(2 |E|) greater neighbours.
+
+    That is the bound that ``degree`` keeps on any graph, so its two joins gain nothing there.  One
+    aggregation by vertex, combined before its shuffle, tells.
+    """
+    if by != "auto":
+        return by
+    most, total = edges.groupBy("src").agg(F.count("*").alias("d")).agg(F.max("d"), F.sum("d")).first()
+    return "id" if (most or 0) ** 2 <= 2 * (total or 0) else "degree"
+
+
 def listing(symmetric: DataFrame, most: int = 100_000) -> DataFrame:
     """The directed entries in (head, tail) order, at most ``most``: a report for people."""
     return symmetric.orderBy("head", "tail").limit(most)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wedgeworks.functions.columns import owner
+from wedgeworks.functions.columns import owner, whole
 
 
 def with_owners(symmetric: DataFrame, nv: int, parts: int) -> DataFrame:
@@ -15,12 +13,39 @@ def with_owners(symmetric: DataFrame, nv: int, parts: int) -> DataFrame:
 
 
 def owner_by_cuts(vertex: Column, cuts: list[int]) -> Column:
-    """Part of a vertex under explicit cuts (part p starts at cuts[p]; the last of equal cuts holds the ids)."""
-    return (F.size(F.filter(F.array(*(F.lit(c).cast("long") for c in cuts)), lambda c: c <= vertex)) - 1).cast("long")
+    """Part of a vertex under explicit cuts (part p starts at cuts[p]; the last of equal cuts holds the ids).
+
+    A tree of comparisons: a row takes as many as the logarithm of the number of parts.
+    """
+
+    def pick(low: int, high: int) -> Column:
+        if high - low == 1:
+            return F.lit(low).cast("long")
+        middle = (low + high) // 2
+        return F.when(vertex < F.lit(cuts[middle]), pick(low, middle)).otherwise(pick(middle, high))
+
+    return pick(0, len(cuts))
+
+
+def first_id(part: Column, nv: int, parts: int) -> Column:
+    """First id of a part in closed form."""
+    return whole(part * F.lit(nv), parts).cast("long")
 
 
-def owner_of(vertex: int, cuts: list[int]) -> int:
-    return bisect_right(cuts, vertex) - 1
+def local_id(vertex: Column, part: Column, nv: int, parts: int) -> Column:
+    """Number of a vertex within a part."""
+    return vertex - first_id(part, nv, parts)
+
+
+def global_id(local: Column, part: Column, nv: int, parts: int) -> Column:
+    """The vertex with a number within a part."""
+    return local + first_id(part, nv, parts)
+
+
+def local_ids(ids: DataFrame, nv: int, parts: int) -> DataFrame:
+    """(id, owner, local): each vertex's part and its number there."""
+    owned = ids.select("id", owner(F.col("id"), nv, parts).alias("owner"))
+    return owned.withColumn("local", local_id(F.col("id"), F.col("owner"), nv, parts))
 
 
 def balanced_cuts(offsets: DataFrame, total: int, nv: int, parts: int) -> list[int]:
@@ -40,6 +65,12 @@ def balanced_cuts(offsets: DataFrame, total: int, nv: int, parts: int) -> list[i
     return cuts
 
 
+def cut_matrix(symmetric: DataFrame, cuts: list[int]) -> DataFrame:
+    """Entries by their ends' owners under explicit cuts."""
+    part = lambda c: owner_by_cuts(F.col(c), cuts).alias(f"{c}_owner")
+    return symmetric.select(part("head"), part("tail")).groupBy("head_owner", "tail_owner").agg(F.count("*").alias("entries"))
+
+
 def owner_cut_matrix(symmetric: DataFrame, nv: int, parts: int) -> DataFrame:
     return with_owners(symmetric, nv, parts).groupBy("head_owner", "tail_owner").agg(F.count("*").alias("entries"))
 

@@ -39,14 +39,30 @@ def wedges(symmetric: DataFrame) -> DataFrame:
     return a.join(symmetric.select("head", F.col("tail").alias("v")), "head").where("u < v")
 
 
-def pruned_wedge_count(symmetric: DataFrame) -> DataFrame:
+def pruned_wedges(symmetric: DataFrame) -> DataFrame:
     """Wedges that neighbour ranges cannot rule out: v in the range of u's neighbours, u at least v's least."""
     ranges = edge_range(symmetric)
     entry = symmetric.join(ranges.withColumnRenamed("id", "tail"), "tail")
     a = entry.select("head", F.col("tail").alias("u"), F.col("min_nbr").alias("low"), F.col("max_nbr").alias("high"))
     b = entry.select("head", F.col("tail").alias("v"), F.col("min_nbr").alias("v_low"))
     keep = within_range(F.col("v"), F.col("low"), F.col("high")) & (F.col("u") >= F.col("v_low")) & (F.col("u") < F.col("v"))
-    return a.join(b, "head").where(keep).agg(F.count("*").alias("wedges"))
+    return a.join(b, "head").where(keep).select("head", "u", "v")
+
+
+def pruned_wedge_count(symmetric: DataFrame) -> DataFrame:
+    return pruned_wedges(symmetric).agg(F.count("*").alias("wedges"))
+
+
+def adjacent_wedge_count(symmetric: DataFrame, nv: int, parts: int) -> DataFrame:
+    """Pruned wedges whose two ends have one owner, or owners with an edge between them: no others can close.
+
+    Wedges are counted by pair of owners before the filter, so at most parts x parts rows are shuffled a task.
+    """
+    own = lambda c: owner(F.col(c), nv, parts)
+    per = pruned_wedges(symmetric).groupBy(own("u").alias("_a"), own("v").alias("_b")).agg(F.count("*").alias("n"))
+    linked = symmetric.select(own("head").alias("_a"), own("tail").alias("_b")).distinct()
+    kept = per.where("_a = _b").unionByName(per.where("_a != _b").join(linked, ["_a", "_b"], "left_semi"))
+    return kept.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("wedges"))
 
 
 def _per_owner_pair(symmetric: DataFrame, found: DataFrame, nv: int, parts: int) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wedgeworks.operators.edges import oriented, symmetrize
+from wedgeworks.operators.edges import oriented, settled, symmetrize
 from wedgeworks.operators.stats import edge_range
 
 #: Largest edge table, in bytes of its ids, that the broadcast plan sends to every executor.
 BROADCAST_BYTES = 256 << 20
-#: Bits of the approximate filter for each edge, and bits set for each key.
-BITS, PROBES = 16, 8
+#: Share of absent keys that the approximate filter may admit.
+TOLERANCE = 1e-9
 
 
 def _count(rows: DataFrame) -> DataFrame:
@@ -23,12 +25,13 @@ def adjacency(edges: DataFrame, orient: str) -> DataFrame:
     return oriented(edges, orient).groupBy("u").agg(F.sort_array(F.collect_list("v")).alias("out"))
 
 
-def common_neighbours(edges: DataFrame, orient: str = "degree") -> DataFrame:
+def common_neighbours(edges: DataFrame, orient: str = "auto") -> DataFrame:
     """(u, v, common): for each oriented edge, the out-neighbours that both ends share.
 
-    Each triangle is in exactly one row.  Under the degree orientation an array has at most
+    Each triangle is in exactly one row.  Under the orientations auto and degree an array has at most
     sqrt(2 |E|) ids.  Wedges never become rows.
     """
+    orient = settled(edges, orient)
     lists = adjacency(edges, orient)
     sent = lists.where(F.size("out") > 1)
     if orient == "id":  # ids grow along paths: only those after v can be common
@@ -40,40 +43,40 @@ def common_neighbours(edges: DataFrame, orient: str = "degree") -> DataFrame:
     return sent.join(other, "v").select("u", "v", F.array_intersect("out", "_other").alias("common"))
 
 
-def count_by_arrays(edges: DataFrame, orient: str = "degree") -> DataFrame:
+def count_by_arrays(edges: DataFrame, orient: str = "auto") -> DataFrame:
     total = F.sum(F.size("common").cast("long"))
     return common_neighbours(edges, orient).agg(F.coalesce(total, F.lit(0)).cast("long").alias("triangles"))
 
 
-def triangles(edges: DataFrame, orient: str = "degree") -> DataFrame:
+def triangles(edges: DataFrame, orient: str = "auto") -> DataFrame:
     """Every triangle once, as a < b < c."""
     rows = common_neighbours(edges, orient).select("u", "v", F.explode("common").alias("w"))
     return rows.select(F.array_sort(F.array("u", "v", "w")).alias("_t")).select(*(F.col("_t")[i].alias(c) for i, c in enumerate("abc")))
 
 
 def _ordered_wedges(edges: DataFrame, orient: str) -> DataFrame:
-    """Two out-neighbours src < dst of each head.  By degree, a head has at most sqrt(2 |E|) of them, hubs included."""
-    e = oriented(edges, orient)
+    """Two out-neighbours src < dst of each head, which has at most sqrt(2 |E|) of them but by id, hubs included."""
+    e = oriented(edges, settled(edges, orient))
     b = e.select(F.col("u").alias("h"), F.col("v").alias("y"))
     return e.select(F.col("u").alias("h"), F.col("v").alias("x")).join(b, "h").where("x < y").select("h", F.col("x").alias("src"), F.col("y").alias("dst"))
 
 
-def count_by_joins(edges: DataFrame, orient: str = "degree", hint: str | None = None) -> DataFrame:
+def count_by_joins(edges: DataFrame, orient: str = "auto", hint: str | None = None) -> DataFrame:
     """Wedges joined with the edges that close them; ``hint`` names the physical join."""
     closing = edges.select("src", "dst")
     return _count(_ordered_wedges(edges, orient).join(closing.hint(hint) if hint else closing, ["src", "dst"], "left_semi"))
 
 
-def count_by_hash(edges: DataFrame, orient: str = "degree") -> DataFrame:
+def count_by_hash(edges: DataFrame, orient: str = "auto") -> DataFrame:
     return count_by_joins(edges, orient, "shuffle_hash")
 
 
-def count_by_broadcast(edges: DataFrame, orient: str = "degree", limit: int = BROADCAST_BYTES) -> DataFrame:
+def count_by_broadcast(edges: DataFrame, orient: str = "auto", limit: int = BROADCAST_BYTES) -> DataFrame:
     """The closing edges go to every executor if their ids fit ``limit`` bytes, else the hash plan runs."""
     return count_by_joins(edges, orient, "broadcast" if edges.count() * 16 <= limit else "shuffle_hash")
 
 
-def count_by_multiplicity(edges: DataFrame, orient: str = "degree") -> DataFrame:
+def count_by_multiplicity(edges: DataFrame, orient: str = "auto") -> DataFrame:
     """Equal wedge ends are counted first, then checked once: pays on dense graphs."""
     ends = _ordered_wedges(edges, orient).groupBy("src", "dst").agg(F.count("*").alias("k"))
     return ends.join(edges, ["src", "dst"]).agg(F.coalesce(F.sum("k"), F.lit(0)).cast("long").alias("triangles"))
@@ -99,37 +102,54 @@ def closing_edges(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").join(ends, ["src", "dst"], "left_semi")
 
 
-def _key_bits(a: str, b: str, blocks: int) -> tuple:
-    """Block of a key and its four 64-bit masks."""
+def bloom_shape(n: int, tolerance: float = TOLERANCE) -> tuple[int, int]:
+    """(bits, probes) of a Bloom filter of n keys, n rounded up to a power of two, that admits a share
+    ``tolerance`` of absent keys."""
+    if not 0 < tolerance < 1:
+        raise ValueError("a tolerance lies between 0 and 1")
+    room = 1 << max(0, math.ceil(math.log2(max(n, 1))))
+    bits = math.ceil(room * -math.log(tolerance) / math.log(2) ** 2)
+    return bits, max(1, round(bits / room * math.log(2)))
+
+
+def _key_bits(a: str, b: str, blocks: int, probes: int) -> tuple:
+    """Block of a key and its four 64-bit masks; the probes are dealt to the masks in turn, six bits of a hash each."""
     block = F.pmod(F.xxhash64(a, b), F.lit(blocks))
-    h = F.xxhash64(b, a, F.lit(1))
-    at = [F.shiftrightunsigned(h, 8 * i).bitwiseAND(F.lit(255).cast("long")) for i in range(PROBES)]
-    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    masks = []
-    for w in range(4):
-        mask = none
-        for x in at:
-            mask = mask.bitwiseOR(F.when(F.shiftright(x, 6) == w, F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63).cast("long")).cast("int"))).otherwise(none))
-        masks.append(mask)
+    hashes = [F.xxhash64(b, a, F.lit(1 + i)) for i in range(-(-probes // 10))]
+    one = F.lit(1).cast("long")
+    masks = [F.lit(0).cast("long")] * 4
+    for i in range(probes):
+        at = F.shiftrightunsigned(hashes[i // 10], 6 * (i % 10)).bitwiseAND(F.lit(63).cast("long")).cast("int")
+        masks[i % 4] = masks[i % 4].bitwiseOR(F.call_function("shiftleft", one, at))
     return block, masks
 
 
-def count_by_bloom(edges: DataFrame, orient: str = "degree", bits: int = BITS) -> DataFrame:
-    """APPROXIMATE: wedges that a Bloom filter of the edges admits, never fewer than the triangles.
+def _admitted(edges: DataFrame, orient: str, tolerance: float) -> DataFrame:
+    """Ordered wedges whose ends pass a Bloom filter of the edges: every closed one, and few others.
 
-    The filter is a table of 256-bit blocks; each edge sets PROBES bits of one block.  It is joined by
+    The filter is a table of 256-bit blocks, all bits of a key in one of them.  It is joined by
     block, so neither the driver nor an executor holds it whole.
     """
-    blocks = max(1, edges.count() * bits // 256)
-    block, masks = _key_bits("src", "dst", blocks)
+    bits, probes = bloom_shape(edges.count(), tolerance)
+    block, masks = _key_bits("src", "dst", -(-bits // 256), probes)
     names = [f"m{i}" for i in range(4)]
     keyed = edges.select(block.alias("_block"), *(m.alias(n) for m, n in zip(masks, names, strict=True)))
     table = keyed.groupBy("_block").agg(*(F.bit_or(n).alias(f"t{n}") for n in names))
-    probe = _ordered_wedges(edges, orient).select(block.alias("_block"), *(m.alias(n) for m, n in zip(masks, names, strict=True)))
+    probe = _ordered_wedges(edges, orient).select("src", "dst", block.alias("_block"), *(m.alias(n) for m, n in zip(masks, names, strict=True)))
     hit = F.lit(True)
     for n in names:
         hit = hit & (F.col(n).bitwiseAND(F.col(f"t{n}")) == F.col(n))
-    return _count(probe.join(table.hint("shuffle_hash"), "_block").where(hit))
+    return probe.join(table.hint("shuffle_hash"), "_block").where(hit).select("src", "dst")
+
+
+def count_by_bloom(edges: DataFrame, orient: str = "auto", tolerance: float = TOLERANCE) -> DataFrame:
+    """APPROXIMATE: wedges that a Bloom filter of the edges admits, never fewer than the triangles."""
+    return _count(_admitted(edges, orient, tolerance))
+
+
+def count_by_bloom_verified(edges: DataFrame, orient: str = "auto", tolerance: float = TOLERANCE) -> DataFrame:
+    """Exact: wedges that the Bloom filter admits, looked up among the edges."""
+    return _count(_admitted(edges, orient, tolerance).join(edges.select("src", "dst").hint("shuffle_hash"), ["src", "dst"], "left_semi"))
 
 
 STRATEGIES = {
@@ -140,6 +160,7 @@ STRATEGIES = {
     "multiplicity": count_by_multiplicity,
     "pruned": count_pruned,
     "bloom": count_by_bloom,
+    "bloom_verified": count_by_bloom_verified,
 }
 
 

@@ -18,6 +18,8 @@ from wedgeworks.sources import csr, derived, geometric
 
 #: Parts of the ownership queries; points of the geometric ones; radius of the embedding graph.
 PARTS, POINTS, EMBEDDING_RADIUS, EXTRA_PERCENT = 4, 256, 1.2, 10.0
+#: Parts of the query on neighbouring parts; strips of the query on strips.
+MANY_PARTS, STRIPS = 512, 4
 __all__ = ["ORACLES", "QUERIES"]
 
 
@@ -68,15 +70,35 @@ def canonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.canonicalize(a.join(b, "l_orderkey").where("_i <= _j").select("src", "dst"))
 
 
-def partition_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sym, nv = _sym(spark, sf_dir).persist(), _nv(spark, sf_dir)
+def _cuts(spark: SparkSession, sym: DataFrame, nv: int) -> list[int]:
     offsets = S.csr_offsets(sym, nv).persist()
     cuts = O.balanced_cuts(offsets, sym.count(), nv, PARTS)
     offsets.unpersist()
+    return cuts
+
+
+def partition_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sym = _sym(spark, sf_dir).persist()
+    cuts = _cuts(spark, sym, _nv(spark, sf_dir))
     sym.unpersist()
     return spark.createDataFrame(list(enumerate(cuts)), "part long, first_id long")
 
 
+def balanced_cut_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries by their ends' owners, the parts being cut anew to near-equal entries."""
+    sym = _sym(spark, sf_dir)
+    return O.cut_matrix(sym, _cuts(spark, sym, _nv(spark, sf_dir)))
+
+
+def local_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nv = _nv(spark, sf_dir)
+    return O.local_ids(spark.range(nv), nv, PARTS)
+
+
+def wedge_adjacent_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.adjacent_wedge_count(_sym(spark, sf_dir), _nv(spark, sf_dir), MANY_PARTS)
+
+
 def boundary_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.boundary_edges(_sym(spark, sf_dir), _nv(spark, sf_dir), PARTS).agg(F.count("*").alias("entries"))
 
@@ -93,6 +115,12 @@ def rgg_random_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometric.random_edges(spark, geometric.geometric_edges(spark, POINTS), POINTS, EXTRA_PERCENT, unit_weight=False)
 
 
+def rgg_strip_random_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In strips; random edges that stay near weigh their length."""
+    edges = geometric.geometric_edges(spark, POINTS, unit_weight=False, strips=STRIPS)
+    return geometric.random_edges(spark, edges, POINTS, EXTRA_PERCENT, False, geometric.points(spark, POINTS, strips=STRIPS), STRIPS)
+
+
 def embedding_radius_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometric.embedding_edges(derived.table(spark, sf_dir, "embeddings"), EMBEDDING_RADIUS)
 
@@ -114,12 +142,14 @@ QUERIES: dict = {
     "triangle_count_pruned": _counting("pruned"),
     "triangle_count_raw": lambda spark, sf_dir: T.count_raw(_sym(spark, sf_dir)),
     "triangle_count_bloom": _counting("bloom"),
+    "triangle_count_bloom_verified": _counting("bloom_verified"),
     "triangle_count_suppliers": _on_graph(derived.supp_coorder, T.count_by_arrays),
     "triangle_count_bipartite": _on_graph(derived.part_supp, T.count_by_arrays),
     "triangle_count_users": _on_graph(derived.user_hour, T.count_by_arrays),
     "closing_edges_distinct": _on_graph(_edges, T.closing_edges),
     "wedge_count": _on_graph(_sym, W.wedge_count),
     "wedge_pruned_count": _on_graph(_sym, W.pruned_wedge_count),
+    "wedge_adjacent_count": wedge_adjacent_count,
     "wedge_locality": _owned_closed(W.wedge_locality),
     "wedge_status_by_owner": _owned_closed(W.wedge_status_by_owner),
     "wedges_per_vertex": _owned(W.wedges_per_vertex),
@@ -128,6 +158,8 @@ QUERIES: dict = {
     "process_degree": _owned(O.process_degree),
     "boundary_edges": boundary_edges,
     "partition_balanced": partition_balanced,
+    "balanced_cut_matrix": balanced_cut_matrix,
+    "local_ids": local_ids,
     "degree": _on_graph(_sym, S.degree),
     "edge_range": _on_graph(_sym, S.edge_range),
     "csr_offsets": lambda spark, sf_dir: S.csr_offsets(_sym(spark, sf_dir), _nv(spark, sf_dir)),
@@ -137,6 +169,7 @@ QUERIES: dict = {
     "lcg_stream": lcg_stream,
     "rgg_edges": rgg_edges,
     "rgg_random_edges": rgg_random_edges,
+    "rgg_strip_random_edges": rgg_strip_random_edges,
     "embedding_radius_graph": embedding_radius_graph,
     "csr_roundtrip": csr_roundtrip,
 }

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wedgeworks.functions.columns import distance, is_power_of_two, lehmer, unit
+from wedgeworks.functions.columns import distance, is_power_of_two, lehmer, unit, whole
 
 #: The value of pi in the radius rule (fixed value).
 PI = 3.14159
@@ -59,24 +59,32 @@ def radius_join(rows: DataFrame, r: float, grid: tuple[Column, Column], apart: C
     return met.select(F.least(key, f"{key}_b").alias("src"), F.greatest(key, f"{key}_b").alias("dst"), "distance")
 
 
-def geometric_edges(spark: SparkSession, n: int, seed: int | None = None, unit_weight: bool = True) -> DataFrame:
+def geometric_edges(spark: SparkSession, n: int, seed: int | None = None, unit_weight: bool = True, strips: int = 1) -> DataFrame:
     """Edges (src, dst, weight) between points within radius(n); weight 1 or the distance."""
     apart = distance([(F.col("x"), F.col("x_b")), (F.col("y"), F.col("y_b"))])
-    met = radius_join(points(spark, n, seed), radius(n), (F.col("x"), F.col("y")), apart, ["x", "y"])
+    met = radius_join(points(spark, n, seed, strips), radius(n), (F.col("x"), F.col("y")), apart, ["x", "y"])
     return met.select("src", "dst", (F.lit(1.0) if unit_weight else F.col("distance")).alias("weight"))
 
 
-def random_edges(spark: SparkSession, edges: DataFrame, n: int, percent: float, unit_weight: bool = True) -> DataFrame:
+def random_edges(spark: SparkSession, edges: DataFrame, n: int, percent: float, unit_weight: bool = True, near: DataFrame | None = None, strips: int = 1) -> DataFrame:
     """``edges`` and percent / 100 times as many picks from the stream after the points' values.
 
     Pick k takes three values: two ids modulo n and a weight in [0.01, 1).  Picks of one vertex, of
-    an edge that exists, and repeats (the first stays) are dropped.
+    an edge that exists, and repeats (the first stays) are dropped.  With ``near``, the points (id, x, y),
+    an edge within a strip or between strips that touch weighs its length; others keep the drawn weight.
     """
     picks = int(edges.count() * percent / 100)
     value = lambda j: lehmer(F.col("id") * F.lit(3) + F.lit(2 * n + j))
     drawn = spark.range(picks).select("id", (value(0) % n).alias("p"), (value(1) % n).alias("q"), (F.lit(0.01) + F.lit(0.99) * unit(value(2))).alias("w"))
     drawn = drawn.where("p != q").groupBy(F.least("p", "q").alias("src"), F.greatest("p", "q").alias("dst")).agg(F.min_by("w", "id").alias("weight"))
     new = drawn.join(edges, ["src", "dst"], "left_anti")
+    if near is not None and not unit_weight:
+        for end in ("src", "dst"):
+            new = new.join(near.select(F.col("id").alias(end), F.col("x").alias(f"x_{end}"), F.col("y").alias(f"y_{end}")), end)
+        strip = lambda c: whole(F.col(c) * F.lit(strips), n)
+        length = distance([(F.col("x_src"), F.col("x_dst")), (F.col("y_src"), F.col("y_dst"))])
+        touch = F.abs(strip("src") - strip("dst")) <= 1
+        new = new.select("src", "dst", F.when(touch, length).otherwise(F.col("weight")).alias("weight"))
     return edges.unionByName(new.withColumn("weight", F.lit(1.0)) if unit_weight else new)
 
 
