@@ -7,10 +7,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wedgeworks.llm import compression, decontamination, lines, mixing, ngram_join, repetition, sharding, substrings, token_files, toxicity
+from wedgeworks.llm import compression, decontamination, fitting, lines, mixing, ngram_join, repetition, sharding, substrings, token_files, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BLANK = " \t\n\v\f\r"
@@ -352,3 +353,21 @@ def test_decontamination_item_types(spark, docs, rows):
         bench = spark.createDataFrame([(value, passage)], f"item_id {kind}, text string")
         found = decontamination.contaminated(docs, bench)
         assert found.schema["item_id"].dataType == bench.schema["item_id"].dataType and {r["item_id"] for r in found.collect()} == {value}
+
+
+def test_size_differences():
+    good, bad = (b"\n".join(f"{w} {i} {w}s were {w} {i * i}".encode() for i in range(300)) for w in ("river", "market"))
+    model = compression.Model(compression.build([good[i : i + 90] for i in range(0, 9000, 90)], 4096), compression.build([bad[i : i + 90] for i in range(0, 9000, 90)], 4096), [0.0] * (compression.TERMS + 1))
+    rows, p = model.scorer()([good[:3000], bad[:3000], b"", b"x", good + bad])
+    assert rows.shape == (5, compression.FEATURES) and np.isfinite(rows).all() and (p == 0.5).all()
+    assert (rows[0, 1::6] > 0).all() and (rows[1, 1::6] < 0).all()  # mean differences of blocks
+    assert (rows[:, 2::6] <= rows[:, 1::6]).all() and (rows[:, 1::6] <= rows[:, 3::6]).all()
+    assert compression.build([]) == b"" and compression.build([b"ab"]) == b"ab"
+
+
+def test_logistic_steps_lower_the_loss():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 3)) * [1, 30, 100]
+    y = (x[:, 0] + x[:, 1] / 30 > 0).astype(int)  # separable, of unlike scales
+    w = fitting.logistic(x, y)
+    assert np.isfinite(w).all() and (((x @ w[:-1] + w[-1]) > 0) == y).mean() > 0.98

@@ -1,10 +1,9 @@
 """Compression classifier: zstandard dictionaries of good and of bad text.
 
-A text is compressed with a dictionary built from each class.  The difference of
-the two sizes, over the size without a dictionary, is taken for the whole text
-and for its blocks; it goes through a logistic calibration (with the plain
-compression ratio and the length beside it) fitted on labelled texts that the
-dictionaries did not see.
+A text is compressed with a dictionary trained on each class.  The difference of the two sizes, over the
+size without a dictionary, is taken for the whole text and for its blocks of several sizes.  Only these
+differences, and how they spread over a text's blocks, enter the logistic calibration, which is fitted
+on labelled texts that the dictionaries did not see.
 """
 
 from __future__ import annotations
@@ -33,63 +32,58 @@ class Model:
     weights: list[float]
 
     def scorer(self):
-        tools = [zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)]
-        for raw in (self.good, self.bad):
-            data = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        plain = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+        tools = [zstandard.ZstdCompressor(**plain)]
+        for content in (self.good, self.bad):
+            data = zstandard.ZstdCompressionDict(content)  # a trained one with its entropy tables; else plain content
             data.precompute_compress(level=LEVEL)
-            tools.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False))
+            tools.append(zstandard.ZstdCompressor(dict_data=data, **plain))
         weights = np.array(self.weights)
 
         def score(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             x = np.array([features(t, tools) for t in texts]).reshape(-1, FEATURES)
-            z = np.column_stack([expand(x), np.ones(len(x))]) @ weights if len(weights) else np.zeros(len(x))
+            z = np.column_stack([expand(x), np.ones(len(x))]) @ weights
             return x, 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
         return score
 
 
-BLOCK = 512
-FEATURES = 5
-
-
-def features(text: bytes, tools: list) -> list[float]:
-    """Of the whole text: size difference over plain size, plain ratio, log length.  Of its blocks of
-    BLOCK bytes: the lowest difference, and the share of those below 0."""
-    plain, good, bad = (len(t.compress(text)) for t in tools)
-    whole = (bad - good) / plain
-    if len(text) <= 2 * BLOCK:
-        parts = [whole]
-    else:
-        parts = [difference(text[i : i + BLOCK], tools) for i in range(0, len(text) - BLOCK // 2, BLOCK)]
-    return [whole, plain / (len(text) + 16), np.log1p(len(text)), min(parts), sum(x < 0 for x in parts) / len(parts)]
+#: Bytes of the blocks that are compressed beside the whole text.
+BLOCKS = (1024, 256)
+FEATURES = 1 + 6 * len(BLOCKS)
+TERMS = 2 * FEATURES
 
 
 def difference(text: bytes, tools: list) -> float:
+    """Size with the bad dictionary less that with the good one, over the size without."""
     plain, good, bad = (len(t.compress(text)) for t in tools)
     return (bad - good) / plain
 
 
-def expand(x: np.ndarray) -> np.ndarray:
-    d, r, n, low, share = x.T
-    n = (n - 7) / 2
-    return np.column_stack([10 * d, r, n, 10 * d * n, 100 * d * d, r * r, n * n, r * n, 10 * low, 10 * low * n, share])
+def features(text: bytes, tools: list) -> list[float]:
+    """The difference of the whole text; of its blocks of each size the mean, least, greatest and median
+    difference, their deviation and the share of those below 0.  A last piece shorter than half a block is left to the whole."""
+    whole = difference(text, tools)
+    out = [whole]
+    for block in BLOCKS:
+        parts = sorted(difference(text[i : i + block], tools) for i in range(0, len(text) - block // 2, block)) or [whole]
+        mean = sum(parts) / len(parts)
+        spread = sum((x - mean) ** 2 for x in parts) / len(parts)
+        out += [mean, parts[0], parts[-1], parts[len(parts) // 2], spread**0.5, sum(x < 0 for x in parts) / len(parts)]
+    return out
 
 
-TERMS = 11
+def expand(x: np.ndarray) -> np.ndarray:
+    return np.column_stack([10 * x, np.clip(10 * x, -10, 10) ** 2])
 
 
 def build(texts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """Dictionary content from whole texts: the trainer's pick of them, or the texts where they are few."""
-    if not texts:
-        return b""
-    joined = b"\n".join(texts)
-    if len(joined) <= size:
-        return joined
+    """A trained dictionary of whole texts; the end of the texts as plain content where they are too few or too
+    uniform for the trainer."""
     try:
-        trained = zstandard.train_dictionary(size, texts).as_bytes()
-    except zstandard.ZstdError:  # too few or too uniform samples for the trainer
-        return joined[-size:]
-    return trained[-size:]
+        return zstandard.train_dictionary(size, texts).as_bytes()
+    except zstandard.ZstdError:
+        return b"\n".join(texts)[-size:]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS, budget: int = SAMPLE_BYTES) -> Model:
@@ -101,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     texts = sample(docs, labels, label, rows, budget)
     if not texts[0] or not texts[1]:
         return Model(b"", b"", [0.0] * TERMS + [3.0 if texts[1] else -3.0 if texts[0] else 0.0])
-    model = Model(build(texts[1][::2]), build(texts[0][::2]), [])
+    model = Model(build(texts[1][::2]), build(texts[0][::2]), [0.0] * (TERMS + 1))
     probe = model.scorer()
     x, y = [], []
     for value in (0, 1):
@@ -116,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
 
 
 def classify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: key, held_out, score, predicted, size_difference, ratio.
+    """One row per input row: key, held_out, score, predicted, and the differences of the whole text and (mean) of its smallest blocks.
 
     Null text scores as the empty text, which gets a defined score from the calibration.  Null
     or repeated keys pass through (a null key is not held out).  Texts of any length are compressed whole.
@@ -130,8 +124,8 @@ def classify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
         for part in parts:
             x, p = score(part.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(x[:, 0]), pa.array(x[:, 1])],
-                ["doc_id", "held_out", "score", "predicted", "size_difference", "ratio"],
+                [part.column(0), part.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(x[:, 0]), pa.array(x[:, -6])],
+                ["doc_id", "held_out", "score", "predicted", "size_difference", "block_difference"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int, size_difference double, ratio double")
+    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int, size_difference double, block_difference double")

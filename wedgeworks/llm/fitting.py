@@ -41,15 +41,19 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, budget: in
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Ridge logistic regression by Newton's method; the last coefficient is the intercept."""
+    """Ridge logistic regression by Newton's method, steps halved until the loss falls; the last coefficient is the intercept."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
+    loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + (penalty * w * w).sum() / 2
+    now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), x.T @ (y - p) - penalty * w)
-        w += step
+        while (after := loss(w + step)) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w, now = w + step, min(now, after)
         if np.abs(step).max() < 1e-9:
             break
     return w
