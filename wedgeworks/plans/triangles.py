@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wedgeworks.operators.edges import oriented, settled, symmetrize
 from wedgeworks.operators.stats import edge_range
+from wedgeworks.plans.cells import look_up, shape
 
-#: Largest edge table, in bytes of its ids, that the broadcast plan sends to every executor.
-BROADCAST_BYTES = 256 << 20
+#: Largest edge table, in bytes of its ids, that the broadcast plan sends to every executor, and the share of the
+#: driver's memory that these bytes may be: the table that it builds takes some five times as much.
+BROADCAST_BYTES, BROADCAST_SHARE = 256 << 20, 32
 #: Share of absent keys that the approximate filter may admit.
 TOLERANCE = 1e-9
 
@@ -43,6 +46,19 @@ def common_neighbours(edges: DataFrame, orient: str = "auto") -> DataFrame:
     return sent.join(other, "v").select("u", "v", F.array_intersect("out", "_other").alias("common"))
 
 
+def _looked_up(edges: DataFrame, orient: str, listed: bool = False, **how) -> DataFrame:
+    """Wedges of each vertex's out-neighbours, looked up in the cells of their closing edges."""
+    cuts, most, total = shape(edges)
+    if orient == "auto":  # as ``settled`` does, in the same pass
+        orient = "id" if most**2 <= 2 * total else "degree"
+    heads = None if orient == "id" else adjacency(edges, orient)
+    return look_up(heads, adjacency(edges, "id"), cuts, listed=listed, **how)
+
+
+def _total(counts: DataFrame) -> DataFrame:
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("triangles"))
+
+
 def count_by_arrays(edges: DataFrame, orient: str = "auto") -> DataFrame:
     total = F.sum(F.size("common").cast("long"))
     return common_neighbours(edges, orient).agg(F.coalesce(total, F.lit(0)).cast("long").alias("triangles"))
@@ -62,9 +78,12 @@ def _ordered_wedges(edges: DataFrame, orient: str) -> DataFrame:
 
 
 def count_by_joins(edges: DataFrame, orient: str = "auto", hint: str | None = None) -> DataFrame:
-    """Wedges joined with the edges that close them; ``hint`` names the physical join."""
+    """Wedges joined with the edges that close them, in cells of these edges; with a ``hint``, by that
+    physical join, which shuffles the wedges unless it is a broadcast."""
+    if not hint:
+        return _total(_looked_up(edges, orient))
     closing = edges.select("src", "dst")
-    return _count(_ordered_wedges(edges, orient).join(closing.hint(hint) if hint else closing, ["src", "dst"], "left_semi"))
+    return _count(_ordered_wedges(edges, orient).join(closing.hint(hint), ["src", "dst"], "left_semi"))
 
 
 def count_by_hash(edges: DataFrame, orient: str = "auto") -> DataFrame:

@@ -13,10 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cooccurrence(rows: DataFrame, group: list[str], member: str) -> DataFrame:
-    """Distinct pairs a < b of members that share a group."""
-    held = rows.select(*group, member).distinct()
+    """Distinct pairs a < b of members that share a group, dealt by a, so that lists by a need no further shuffle."""
+    held = rows.select(*group, member).repartition(*group).distinct()
     a, b = held.withColumnRenamed(member, "src"), held.withColumnRenamed(member, "dst")
-    return a.join(b, group).where("src < dst").select("src", "dst").distinct()
+    return a.join(b, group).where("src < dst").select("src", "dst").repartition("src").distinct()
 
 
 def part_coorder(spark: SparkSession, sf_dir: str) -> DataFrame:
