@@ -60,8 +60,8 @@ def _total(counts: DataFrame) -> DataFrame:
 
 
 def count_by_arrays(edges: DataFrame, orient: str = "auto") -> DataFrame:
-    total = F.sum(F.size("common").cast("long"))
-    return common_neighbours(edges, orient).agg(F.coalesce(total, F.lit(0)).cast("long").alias("triangles"))
+    """Lists of both ends of an edge are intersected: by rows of bits in a dense cell, else each id is looked up."""
+    return _total(_looked_up(edges, orient, method="array"))
 
 
 def triangles(edges: DataFrame, orient: str = "auto") -> DataFrame:
