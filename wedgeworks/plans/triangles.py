@@ -117,8 +117,7 @@ def count_raw(symmetric: DataFrame) -> DataFrame:
 
 def closing_edges(edges: DataFrame) -> DataFrame:
     """Edges that close at least one wedge whose head is less than both ends."""
-    ends = _ordered_wedges(edges, "id").select("src", "dst").distinct()
-    return edges.select("src", "dst").join(ends, ["src", "dst"], "left_semi")
+    return _looked_up(edges, "id", listed=True)
 
 
 def bloom_shape(n: int, tolerance: float = TOLERANCE) -> tuple[int, int]:
