@@ -21,6 +21,7 @@ GRAPH = sorted(
 )
 PLANS = {
     "triangle_count_join": T.count_by_joins,
+    "triangle_count_hash": T.count_by_hash,
     "triangle_count_suppliers": lambda e: T.count_by_arrays(e, "id"),
     "closing_edges_distinct": T.closing_edges,
 }

@@ -87,7 +87,7 @@ def count_by_joins(edges: DataFrame, orient: str = "auto", hint: str | None = No
 
 
 def count_by_hash(edges: DataFrame, orient: str = "auto") -> DataFrame:
-    return count_by_joins(edges, orient, "shuffle_hash")
+    return _total(_looked_up(edges, orient, method="hash"))
 
 
 def count_by_broadcast(edges: DataFrame, orient: str = "auto", limit: int = BROADCAST_BYTES) -> DataFrame:
