@@ -90,9 +90,11 @@ def count_by_hash(edges: DataFrame, orient: str = "auto") -> DataFrame:
     return _total(_looked_up(edges, orient, method="hash"))
 
 
-def count_by_broadcast(edges: DataFrame, orient: str = "auto", limit: int = BROADCAST_BYTES) -> DataFrame:
+def count_by_broadcast(edges: DataFrame, orient: str = "auto", limit: int | None = None) -> DataFrame:
     """The closing edges go to every executor if their ids fit ``limit`` bytes, else the hash plan runs."""
-    return count_by_joins(edges, orient, "broadcast" if edges.count() * 16 <= limit else "shuffle_hash")
+    if limit is None:
+        limit = min(BROADCAST_BYTES, edges.sparkSession._jvm.Runtime.getRuntime().maxMemory() // BROADCAST_SHARE)
+    return count_by_joins(edges, orient, "broadcast") if edges.count() * 16 <= limit else count_by_hash(edges, orient)
 
 
 def count_by_multiplicity(edges: DataFrame, orient: str = "auto") -> DataFrame:
