@@ -98,9 +98,8 @@ def count_by_broadcast(edges: DataFrame, orient: str = "auto", limit: int | None
 
 
 def count_by_multiplicity(edges: DataFrame, orient: str = "auto") -> DataFrame:
-    """Equal wedge ends are counted first, then checked once: pays on dense graphs."""
-    ends = _ordered_wedges(edges, orient).groupBy("src", "dst").agg(F.count("*").alias("k"))
-    return ends.join(edges, ["src", "dst"]).agg(F.coalesce(F.sum("k"), F.lit(0)).cast("long").alias("triangles"))
+    """Equal wedge ends of a batch are counted first, then checked once."""
+    return _total(_looked_up(edges, orient, group=True))
 
 
 def count_pruned(edges: DataFrame) -> DataFrame:
