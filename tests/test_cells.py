@@ -24,6 +24,7 @@ PLANS = {
     "triangle_count_hash": T.count_by_hash,
     "triangle_count_broadcast": lambda e: T.count_by_broadcast(e, limit=0),
     "triangle_count_preagg": T.count_by_multiplicity,
+    "triangle_count_pruned": T.count_pruned,
     "triangle_count_suppliers": lambda e: T.count_by_arrays(e, "id"),
     "closing_edges_distinct": T.closing_edges,
 }

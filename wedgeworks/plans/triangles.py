@@ -104,9 +104,7 @@ def count_by_multiplicity(edges: DataFrame, orient: str = "auto") -> DataFrame:
 
 def count_pruned(edges: DataFrame) -> DataFrame:
     """Ordered wedges whose greater end lies within the lesser one's neighbours, then checked."""
-    ranges = edge_range(symmetrize(edges.select("src", "dst"))).select(F.col("id").alias("src"), "max_nbr")
-    kept = _ordered_wedges(edges, "id").join(ranges, "src").where("dst <= max_nbr")
-    return _count(kept.join(edges.select("src", "dst").hint("shuffle_hash"), ["src", "dst"], "left_semi"))
+    return _total(_looked_up(edges, "id", method="hash", prune=True))
 
 
 def count_raw(symmetric: DataFrame) -> DataFrame:
