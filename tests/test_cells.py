@@ -25,6 +25,7 @@ PLANS = {
     "triangle_count_broadcast": lambda e: T.count_by_broadcast(e, limit=0),
     "triangle_count_preagg": T.count_by_multiplicity,
     "triangle_count_pruned": T.count_pruned,
+    "triangle_count_raw": lambda e: T.count_raw(symmetrize(e)),
     "triangle_count_suppliers": lambda e: T.count_by_arrays(e, "id"),
     "closing_edges_distinct": T.closing_edges,
 }

@@ -109,9 +109,10 @@ def count_pruned(edges: DataFrame) -> DataFrame:
 
 def count_raw(symmetric: DataFrame) -> DataFrame:
     """Unordered heads: every triangle is found three times, and the total divided by three."""
-    a, b = (symmetric.select("head", F.col("tail").alias(c)) for c in ("u", "v"))
-    closing = symmetric.select(F.col("head").alias("u"), F.col("tail").alias("v")).hint("shuffle_hash")
-    return a.join(b, "head").where("u < v").join(closing, ["u", "v"], "left_semi").agg(F.expr("count(*) div 3").alias("triangles"))
+    edges = symmetric.where("head < tail").select(F.col("head").alias("src"), F.col("tail").alias("dst"))
+    heads = symmetric.groupBy(F.col("head").alias("u")).agg(F.sort_array(F.collect_list("tail")).alias("out"))
+    cuts, _, _ = shape(edges)
+    return look_up(heads, adjacency(edges, "id"), cuts).agg(F.expr("coalesce(sum(n), 0L) div 3").alias("triangles"))
 
 
 def closing_edges(edges: DataFrame) -> DataFrame:
