@@ -161,8 +161,8 @@ def _admitted(edges: DataFrame, orient: str, tolerance: float) -> DataFrame:
 
 
 def count_by_bloom(edges: DataFrame, orient: str = "auto", tolerance: float = TOLERANCE) -> DataFrame:
-    """APPROXIMATE: wedges that a Bloom filter of the edges admits, never fewer than the triangles."""
-    return _count(_admitted(edges, orient, tolerance))
+    """APPROXIMATE: wedges that a Bloom filter of each cell's edges admits, never fewer than the triangles."""
+    return _total(_looked_up(edges, orient, method="bloom", shape_of=partial(bloom_shape, tolerance=tolerance)))
 
 
 def count_by_bloom_verified(edges: DataFrame, orient: str = "auto", tolerance: float = TOLERANCE) -> DataFrame:
