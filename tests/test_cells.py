@@ -27,6 +27,7 @@ PLANS = {
     "triangle_count_pruned": T.count_pruned,
     "triangle_count_raw": lambda e: T.count_raw(symmetrize(e)),
     "triangle_count_bloom": T.count_by_bloom,
+    "triangle_count_bloom_verified": T.count_by_bloom_verified,
     "triangle_count_suppliers": lambda e: T.count_by_arrays(e, "id"),
     "closing_edges_distinct": T.closing_edges,
 }

@@ -8,8 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wedgeworks.operators.edges import oriented, settled, symmetrize
-from wedgeworks.operators.stats import edge_range
+from wedgeworks.operators.edges import oriented, settled
 from wedgeworks.plans.cells import look_up, shape
 
 #: Largest edge table, in bytes of its ids, that the broadcast plan sends to every executor, and the share of the
@@ -130,36 +129,6 @@ def bloom_shape(n: int, tolerance: float = TOLERANCE) -> tuple[int, int]:
     return bits, max(1, round(bits / room * math.log(2)))
 
 
-def _key_bits(a: str, b: str, blocks: int, probes: int) -> tuple:
-    """Block of a key and its four 64-bit masks; the probes are dealt to the masks in turn, six bits of a hash each."""
-    block = F.pmod(F.xxhash64(a, b), F.lit(blocks))
-    hashes = [F.xxhash64(b, a, F.lit(1 + i)) for i in range(-(-probes // 10))]
-    one = F.lit(1).cast("long")
-    masks = [F.lit(0).cast("long")] * 4
-    for i in range(probes):
-        at = F.shiftrightunsigned(hashes[i // 10], 6 * (i % 10)).bitwiseAND(F.lit(63).cast("long")).cast("int")
-        masks[i % 4] = masks[i % 4].bitwiseOR(F.call_function("shiftleft", one, at))
-    return block, masks
-
-
-def _admitted(edges: DataFrame, orient: str, tolerance: float) -> DataFrame:
-    """Ordered wedges whose ends pass a Bloom filter of the edges: every closed one, and few others.
-
-    The filter is a table of 256-bit blocks, all bits of a key in one of them.  It is joined by
-    block, so neither the driver nor an executor holds it whole.
-    """
-    bits, probes = bloom_shape(edges.count(), tolerance)
-    block, masks = _key_bits("src", "dst", -(-bits // 256), probes)
-    names = [f"m{i}" for i in range(4)]
-    keyed = edges.select(block.alias("_block"), *(m.alias(n) for m, n in zip(masks, names, strict=True)))
-    table = keyed.groupBy("_block").agg(*(F.bit_or(n).alias(f"t{n}") for n in names))
-    probe = _ordered_wedges(edges, orient).select("src", "dst", block.alias("_block"), *(m.alias(n) for m, n in zip(masks, names, strict=True)))
-    hit = F.lit(True)
-    for n in names:
-        hit = hit & (F.col(n).bitwiseAND(F.col(f"t{n}")) == F.col(n))
-    return probe.join(table.hint("shuffle_hash"), "_block").where(hit).select("src", "dst")
-
-
 def count_by_bloom(edges: DataFrame, orient: str = "auto", tolerance: float = TOLERANCE) -> DataFrame:
     """APPROXIMATE: wedges that a Bloom filter of each cell's edges admits, never fewer than the triangles."""
     return _total(_looked_up(edges, orient, method="bloom", shape_of=partial(bloom_shape, tolerance=tolerance)))
@@ -167,7 +136,7 @@ def count_by_bloom(edges: DataFrame, orient: str = "auto", tolerance: float = TO
 
 def count_by_bloom_verified(edges: DataFrame, orient: str = "auto", tolerance: float = TOLERANCE) -> DataFrame:
     """Exact: wedges that the Bloom filter admits, looked up among the edges."""
-    return _count(_admitted(edges, orient, tolerance).join(edges.select("src", "dst").hint("shuffle_hash"), ["src", "dst"], "left_semi"))
+    return _total(_looked_up(edges, orient, method="verified", shape_of=partial(bloom_shape, tolerance=tolerance)))
 
 
 STRATEGIES = {
