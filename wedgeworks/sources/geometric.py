@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wedgeworks.functions.columns import distance, is_power_of_two, lehmer, unit, whole
+from wedgeworks.sources.blocks import radius_pairs
 
 #: The value of pi in the radius rule (fixed value).
 PI = 3.14159
@@ -90,6 +91,4 @@ def random_edges(spark: SparkSession, edges: DataFrame, n: int, percent: float,
 
 def embedding_edges(rows: DataFrame, r: float) -> DataFrame:
     """Pairs of vectors at most r apart (Euclidean, in double precision)."""
-    vector = rows.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
-    square = F.aggregate(F.zip_with("e", "e_b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
-    return radius_join(vector, r, (F.col("e")[0], F.col("e")[1]), F.sqrt(square), ["e"]).select("src", "dst")
+    return radius_pairs(rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("e")), r)
