@@ -41,6 +41,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Have the files of shuffles and checkpoints that nothing refers to any more deleted: Spark does so only when
+    the driver happens to collect its garbage, and until then each step's files add to the disk in use."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Keys at most that are sent to every executor to pick rows by.
 SENT_KEYS = 500_000
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wedgeworks.llm.common import among, freed, materialise, mix64, pieces
+from wedgeworks.llm.common import among, forget, freed, materialise, mix64, pieces
 from wedgeworks.llm.components import components
 
 #: Least number of classes of frequent tokens, and the most prefixes that hold a rare token or pair.
@@ -282,6 +282,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, classes:
     member = member.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     entry = own.select(F.col("doc_id").alias("node"), F.col("size").cast("int").alias("n"), "band", F.explode("prefix").alias("token"))
     entry = materialise(entry.join(entry.groupBy("token").agg(F.count("*").alias("held")).where("held > 1"), "token"))
+    forget(docs.sparkSession)
 
     near = lambda x, y: (100 * F.least(x, y)) >= percent * F.greatest(x, y)
     pair = lambda rows: materialise(rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -290,8 +291,10 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, classes:
     first = entry.join(ends, "token").select("node", "n", center).where(F.col("node") != F.col("_c.node")).where(near(F.col("n"), F.col("_c.n")))
     first = first.groupBy(F.col("node").alias("b"), F.col("_c.node").alias("a")).agg(F.count("*").alias("_shared")).where(F.col("_shared") > classes // 2)
     done = pair(first)
+    forget(docs.sparkSession)
     links = verified(plausible(done, sets, percent), texts, n, percent)
     group = components(links)
+    forget(docs.sparkSession)
 
     known = _with_component(entry.select("token", "held", "node", "n", "band"), group)
     split = lambda rows, by: rows.groupBy(*by).agg(F.count("*").alias("_held"), F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x != _y").select(*by, "_held")
@@ -300,6 +303,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, classes:
     index = rest.where(F.col("held") <= rare).select(F.col("token").alias("key"), none.alias("cell"), "node", "n", none.alias("band"), "component", F.lit(1).alias("one"))
     celled = rest.where(F.col("held") > rare).select("token", "node", "n", "band", "component", F.explode(F.array("band", F.col("band") + 1)).alias("cell"))
     celled = materialise(celled.join(split(celled, ["token", "cell"]), ["token", "cell"]))
+    forget(docs.sparkSession)
     keyed = lambda rows, one, *by: rows.select(F.xxhash64(*by).alias("key"), "cell", "node", "n", "band", "component", F.lit(one).alias("one"))
     index = index.unionByName(keyed(celled.where(F.col("_held") <= rare), 1, "token"))
     number = F.element_at(F.array(*map(F.lit, bands.classes)), F.col("cell") + 1)
@@ -307,6 +311,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, classes:
     other = many.select("node", "cell", "_class", F.col("token").alias("_second"))
     paired = keyed(many.join(other, ["node", "cell", "_class"]).where("token < _second"), 0, "token", "_second")
     paired = materialise(paired.join(split(paired, ["key", "cell"]), ["key", "cell"]))
+    forget(docs.sparkSession)
     index = index.unionByName(paired.where(F.col("_held") <= rare).drop("_held"))
     second = _enough(_apart(index, near), sets, celled, percent, rare)
 
@@ -320,6 +325,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, classes:
         found = verified(plausible(round_.join(done, ["a", "b"], "left_anti"), sets, percent), texts, n, percent)
         links = links.unionByName(found)
         group = components(links)
+        forget(docs.sparkSession)
         # the largest set that a set can link with, if this token is the first that they have in common: those
         # before it are then not in the other one.  A pair that links passes at its first token.
         reach = F.expr(f"({100 + percent}L * (n - at)) div {percent} - n")
@@ -330,6 +336,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, classes:
         second = second.unionByName(left.join(right, "token").where(met).select(F.col("node").alias("a"), "b").distinct())
         done = done.unionByName(round_)
     second = pair(second).join(done, ["a", "b"], "left_anti")
+    forget(docs.sparkSession)
     links = links.unionByName(verified(plausible(second, sets, percent), texts, n, percent)).unionByName(member)
     final = components(links)
     return sets.join(final, sets["doc_id"] == final["node"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
