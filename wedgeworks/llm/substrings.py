@@ -4,9 +4,10 @@ Every string of LENGTH bytes is assigned to the least of its k-byte pieces under
 hash order (its anchor), so equal strings have equal anchors, at the same offset.
 Documents are packed in buckets.  A first exchange sends hashes of anchors and
 finds those of more than one text.  A second one sends, for these alone, the bytes
-around the anchor; there the strings of an anchor and offset are suffix-sorted by
-hash comparison, and the smallest document of each string is found.  What comes
-back to a bucket is one bit for each string.
+around the anchor; there the strings of an anchor and offset are suffix-sorted,
+and the smallest document of each string is found.  What comes back to a bucket is
+one bit for each string, and its own note of where its contexts lie, so that the
+last step hashes nothing again.
 
 An exchange has at most one entry for each bucket and content, whatever number of
 documents of the bucket share it, and exact copies of a text are one document.
@@ -23,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wedgeworks.llm.common import mix64, release, total_bytes
-from wedgeworks.llm.suffixes import Hashes, equal_classes, sort_within
+from wedgeworks.llm.suffixes import Hashes, sort_within, words
 
 LENGTH, PIECE = 50, 20
-#: Bytes of text in a bucket, and in the buffer that is hashed at a time.
-BUCKET_BYTES, BUFFER_BYTES = 2 << 20, 1 << 19
+#: Bytes of text in a bucket; buckets that small inputs get nevertheless, and the bytes for which one more pays.
+BUCKET_BYTES, BUCKETS, LEAST_BYTES = 8 << 20, 64, 1 << 20
+#: Bytes of text that are hashed at a time: their arrays stay in a core's cache.
+BUFFER_BYTES = 1 << 16
 #: Bytes of an anchor's hash in the first exchange; hashes that collide there only send more to the second.
 SHORT = 5
 NULL = -(1 << 63)
@@ -42,8 +45,14 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - done)], values[width - done :]) if width > done else values
 
 
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The ranges starts[i], .., starts[i] + counts[i] - 1, one after another."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
+
+
 class Texts:
-    """Different texts of a bucket, in ascending order of their smallest document."""
+    """Different texts of a bucket, one after another in ``raw``, in ascending order of their smallest document."""
 
     def __init__(self, rows: pa.Table):
         text: dict[bytes, bytes] = {}
@@ -55,59 +64,66 @@ class Texts:
                 doc[sha] = min(d, doc.get(sha, d))
         self.sha = sorted(text, key=lambda s: (doc[s], s))
         self.doc = np.array([doc[s] for s in self.sha], np.int64)
-        self.text = [text[s] for s in self.sha]
-
-    def buffers(self):
-        """(bytes, first text, start of each text in the buffer, offset in its text): whole texts together, long ones in pieces."""
-        held, size, first = [], 0, 0
-        for i, t in enumerate(self.text):
-            if size and size + len(t) > BUFFER_BYTES:
-                yield b"".join(held), first, np.cumsum([0, *map(len, held)]), 0
-                held, size = [], 0
-            if len(t) > BUFFER_BYTES:
-                for at in range(0, len(t) - LENGTH + 1, BUFFER_BYTES):
-                    part = t[at : at + BUFFER_BYTES + LENGTH - 1]
-                    yield part, i, np.array([0, len(part)]), at
-                first = i + 1
-                continue
-            if not size:
-                first = i
-                held = []
-            held.append(t)
-            size += len(t)
-        if size:
-            yield b"".join(held), first, np.cumsum([0, *map(len, held)]), 0
+        self.edges = np.cumsum([0, *(len(text[s]) for s in self.sha)])
+        self.raw = np.frombuffer(b"".join([text[s] for s in self.sha]), np.uint8)
 
 
 class Anchors:
-    """Anchors of a buffer: hash; text; first and last string (as starts); bytes before the anchor at the first one."""
+    """Anchors of a bucket in order of place: hash; text; first and last string (as starts in ``raw``); place of the anchor."""
 
-    def __init__(self, raw: bytes, first: int, edges: np.ndarray):
-        self.raw = np.frombuffer(raw, np.uint8)
-        n = len(raw)
+    def __init__(self, texts: Texts):
+        found = [self._of(texts, at) for at in range(0, len(texts.raw) - LENGTH + 1, BUFFER_BYTES)]
         empty = np.zeros(0, np.int64)
-        self.hash, self.text, self.low, self.high, self.at = np.zeros(0, np.uint64), empty, empty, empty, empty
-        if n < LENGTH:
-            return
-        hashes = Hashes(self.raw)
-        pieces = mix64(hashes.of(np.arange(n - PIECE + 1), PIECE))
-        packed = (pieces >> np.uint64(24) << np.uint64(24)) | np.arange(len(pieces), dtype=np.uint64)
-        anchor = (_least(packed, LENGTH - PIECE + 1) & np.uint64((1 << 24) - 1)).astype(np.int64)
-        start = np.arange(n - LENGTH + 1)
-        owner = np.repeat(np.arange(len(edges) - 1), np.diff(edges))[: len(start)]
-        valid = start + LENGTH <= edges[owner + 1]
-        start, anchor, owner = start[valid], anchor[valid], owner[valid]
-        if not len(start):
-            return
-        new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])])
-        head = np.flatnonzero(new)
-        self.low, self.high, self.at = start[head], start[np.append(head[1:], len(start)) - 1], anchor[head]
-        self.text, self.hash = owner[head] + first, pieces[self.at]
+        self.hash, self.text, self.low, self.high, self.at = map(np.concatenate, zip((empty.astype(np.uint64), *[empty] * 4), *found, strict=True))
+
+    @staticmethod
+    def _of(texts: Texts, begin: int):
+        """Of the strings that start from ``begin`` on, up to a buffer's bytes."""
+        part = texts.raw[begin : begin + BUFFER_BYTES + LENGTH - 1]
+        hashes, n = Hashes(part), len(part) - PIECE + 1
+        pieces = mix64((hashes.prefix[PIECE:] - hashes.prefix[:n]) * hashes.back[:n])
+        packed = (pieces >> np.uint64(24) << np.uint64(24)) | np.arange(n, dtype=np.uint64)
+        packed = _least(packed, LENGTH - PIECE + 1)
+        # runs of strings of one anchor end where it changes, where a text begins and where too little of a text is left
+        texts_here = texts.edges[np.searchsorted(texts.edges, begin) : np.searchsorted(texts.edges, begin + len(part), "right")] - begin
+        cut = np.concatenate([[0], np.flatnonzero(packed[1:] != packed[:-1]) + 1, texts_here, texts_here - LENGTH + 1])
+        low = np.unique(cut[(cut >= 0) & (cut < len(packed))])
+        high = np.append(low[1:], len(packed)) - 1
+        text = np.searchsorted(texts.edges, low + begin, "right") - 1
+        inside = low + begin + LENGTH <= texts.edges[text + 1]
+        low, high, text = low[inside], high[inside], text[inside]
+        at = (packed[low] & np.uint64((1 << 24) - 1)).astype(np.int64)
+        return pieces[at], text, low + begin, high + begin, at + begin
 
 
 assert BUFFER_BYTES + LENGTH < 1 << 24
 
 
+def _alike(raw: np.ndarray, at: np.ndarray, size: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order by content, and which elements of it are equal to the one before, byte for byte.
+
+    Contents are ``size`` bytes from ``at`` on, LENGTH at least, and the values of ``more``.
+    """
+    view, last = words(raw), at + size
+    # eight bytes each, from the start and from the end, meet in the middle
+    places = [at + o for o in range(0, LENGTH - 7, 8)] + [last - o for o in range(8, MOST - LENGTH // 8 * 8 + 8, 8)]
+    parts = [x.astype(np.uint64) for x in (*(view[p] for p in places), size, *more)]
+    mixed = np.zeros(len(at), np.uint64)
+    for x in parts:
+        mixed = mix64(mixed ^ x)
+    order = np.argsort(mixed, kind="stable")
+    same = np.ones(len(at), bool)
+    same[:1] = False
+    for x in parts:
+        x = x[order]
+        same[1:] &= x[1:] == x[:-1]
+    return order, same
+
+
+#: Bytes of the longest context: an anchor's strings start at most LENGTH - PIECE before it.
+MOST = 2 * LENGTH - PIECE
+
+
 def _to(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
@@ -126,24 +142,19 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _bucket_anchors(texts: Texts):
-    """All anchors' hashes and texts; distinct (place, short hash) in order, and whether several texts hold it."""
-    found = [Anchors(raw, first, edges) for raw, first, edges, _ in texts.buffers()]
-    hashes = np.concatenate([a.hash for a in found]) if found else np.zeros(0, np.uint64)
-    owner = np.concatenate([a.text for a in found]) if found else np.zeros(0, np.int64)
-    return hashes, owner
-
-
 def _distinct(hashes: np.ndarray, owner: np.ndarray, n: int):
-    place, short = _to(hashes, n), _short(hashes)
-    order = np.lexsort((owner, short, place))
-    place, short, owner = place[order], short[order], owner[order]
-    new = np.concatenate([[True], (place[1:] != place[:-1]) | (short[1:] != short[:-1])]) if len(order) else np.zeros(0, bool)
+    """Distinct (place, short hash) in order, whether several texts hold each, and the number of each hash's."""
+    key = _to(hashes, n).astype(np.uint64) << np.uint64(8 * SHORT) | _short(hashes)
+    order = np.argsort(key)
+    key, owner = key[order], owner[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
     head = np.flatnonzero(new)
-    last = np.append(head[1:], len(order)) - 1 if len(head) else head
-    key = np.empty(len(order), np.int64)
-    key[order] = np.cumsum(new) - 1
-    return place[head], short[head], owner[head] != owner[last], key  # owners ascend, so first and last tell
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    several = np.minimum.reduceat(owner, head) != np.maximum.reduceat(owner, head) if len(head) else np.zeros(0, bool)
+    key = key[head]
+    return (key >> np.uint64(8 * SHORT)).astype(np.int64), _short(key), several, number
 
 
 def _cuts(place: np.ndarray):
@@ -160,8 +171,8 @@ PLACE = {"place": pa.int64(), "bucket": pa.int64(), "data": pa.binary()}
 
 def _send_hashes(n: int):
     def run(key, rows):
-        hashes, owner = _bucket_anchors(Texts(rows))
-        place, short, several, _ = _distinct(hashes, owner, n)
+        anchors = Anchors(Texts(rows))
+        place, short, several, _ = _distinct(anchors.hash, anchors.text, n)
         out = {"place": [], "bucket": [], "data": []}
         for p, a, b in _cuts(place):
             out["place"].append(p)
@@ -188,8 +199,10 @@ def _find_shared(key, rows):
         flags.append(np.unpackbits(np.frombuffer(data[n * SHORT :], np.uint8))[:n].astype(bool))
     sizes = list(map(len, parts))
     values, several = np.concatenate(parts), np.concatenate(flags)
-    _, inverse, count = np.unique(values, return_inverse=True, return_counts=True)
-    shared = (count[inverse] > 1) | several
+    order = np.argsort(values)
+    twice = np.flatnonzero(values[order[1:]] == values[order[:-1]])
+    shared = several.copy()
+    shared[order[twice]] = shared[order[twice + 1]] = True
     out = {"place": [], "bucket": [], "data": []}
     for b, a, e in zip(buckets, np.cumsum([0, *sizes]), np.cumsum(sizes), strict=False):
         if shared[a:e].any():
@@ -202,193 +215,213 @@ def _find_shared(key, rows):
 class Contexts:
     """Distinct contexts of a bucket's shared anchors: bytes from the first string's start to the last one's end.
 
-    Per context: place, hash, smallest document, bytes before the anchor, number of strings.  ``uses``: for every
-    shared anchor its context, text and first string.
+    Per context, in order of place: place, hash, bytes before the anchor, first byte, size, and the first text that has
+    it, which is the one of the smallest document.  ``use``: the context of every shared anchor; ``at``: its first byte.
     """
 
     def __init__(self, texts: Texts, replies: pa.Table, n: int):
-        hashes, owner = _bucket_anchors(texts)
-        place, short, _, key = _distinct(hashes, owner, n)
+        a = Anchors(texts)
+        place, _, _, number = _distinct(a.hash, a.text, n)
         flag = np.zeros(len(place), bool)
         by_place = dict(zip(replies.column("place").to_pylist(), replies.column("data").to_pylist(), strict=True))
-        for p, a, b in _cuts(place):
+        for p, begin, end in _cuts(place):
             if p in by_place:
-                flag[a:b] = np.unpackbits(np.frombuffer(by_place[p], np.uint8))[: b - a].astype(bool)
-        shared = flag[key] if len(key) else flag
-        known: dict[tuple[int, int, bytes], int] = {}
-        self.hash, self.before, self.data, self.least = [], [], [], []
-        self.uses: list[tuple[int, int, int]] = []
-        done = 0
-        for raw, first, edges, offset in texts.buffers():
-            a = Anchors(raw, first, edges)
-            pick = np.flatnonzero(shared[done : done + len(a.hash)])
-            done += len(a.hash)
-            low, high, at, text = (x[pick] for x in (a.low, a.high, a.at, a.text))
-            base = edges[text - first]
-            for h, lo, hi, p, t, e in zip(a.hash[pick].tolist(), low.tolist(), (high + LENGTH).tolist(), at.tolist(), text.tolist(), base.tolist(), strict=True):
-                k = (h, p - lo, raw[lo:hi])
-                i = known.get(k)
-                if i is None:  # texts ascend by document, so the first user is the smallest
-                    i = known[k] = len(self.hash)
-                    self.hash.append(h)
-                    self.before.append(p - lo)
-                    self.data.append(k[2])
-                    self.least.append(t)
-                self.uses.append((i, t, lo - e + offset))
-        h = np.array(self.hash, np.uint64)
-        self.place = _to(h, n)
-        self.order = np.argsort(self.place, kind="stable")
+                flag[begin:end] = np.unpackbits(np.frombuffer(by_place[p], np.uint8))[: end - begin].astype(bool)
+        pick = np.flatnonzero(flag[number])
+        hashes, low, before = a.hash[pick], a.low[pick], a.at[pick] - a.low[pick]
+        size = a.high[pick] + LENGTH - low
+        order, same = _alike(texts.raw, low, size, hashes, before)
+        head = order[~same]  # the first of equal ones in the order of texts, as it is stable
+        by = np.argsort(_to(hashes[head], n), kind="stable")
+        rank = np.empty(len(head), np.int64)
+        rank[by] = np.arange(len(head))
+        self.use, self.at = np.empty(len(pick), np.int64), low
+        self.use[order] = rank[np.cumsum(~same) - 1]
+        head = head[by]
+        self.place, self.hash, self.before, self.low, self.size, self.least = _to(hashes[head], n), hashes[head], before[head], low[head], size[head], a.text[pick][head]
 
 
 HEADER = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("before", "u1"), ("size", "u1")])
+assert MOST < 256
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit values, the lowest bytes of all first."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def _note(c: Contexts) -> bytes:
+    """What a bucket has to know of its contexts when the answers come."""
+    parts = [_planes(np.diff(c.place, prepend=0)), c.size.astype(np.uint8).tobytes(), _planes(c.least), _planes(c.use), _planes(np.diff(c.at, prepend=0))]
+    return np.array([len(c.place), len(c.use)], "<i8").tobytes() + zstandard.compress(b"".join(parts), 1)
+
+
+def _read_note(data: bytes) -> tuple[np.ndarray, ...]:
+    """Place, size and first text of each context; context and first byte of each use."""
+    n, uses = np.frombuffer(data[:16], "<i8").tolist()
+    raw = zstandard.decompress(data[16:])
+    at = np.cumsum([0, 4 * n, n, 4 * n, 4 * uses, 4 * uses]).tolist()
+    place, size, least, use, first = (raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True))
+    return np.cumsum(_from_planes(place)), np.frombuffer(size, np.uint8).astype(np.int64), _from_planes(least), _from_planes(use), np.cumsum(_from_planes(first))
 
 
 def _send_contexts(n: int):
+    """Contexts to their places; and to a place of its own, beyond the n, a bucket's note to itself."""
+
     def run(key, rows, replies):
         texts = Texts(rows)
         c = Contexts(texts, replies, n)
+        bucket = key[0].as_py()
         out = {"place": [], "bucket": [], "data": []}
         tool = zstandard.ZstdCompressor(level=3)
-        for p, a, b in _cuts(c.place[c.order]):
-            some = c.order[a:b].tolist()
-            head = np.zeros(len(some), HEADER)
-            head["hash"], head["doc"] = [c.hash[i] for i in some], texts.doc[[c.least[i] for i in some]]
-            head["before"], head["size"] = [c.before[i] for i in some], [len(c.data[i]) for i in some]
+        head = np.zeros(len(c.place), HEADER)
+        head["hash"], head["doc"], head["before"], head["size"] = c.hash, texts.doc[c.least], c.before, c.size
+        for p, a, b in _cuts(c.place):
             out["place"].append(p)
-            out["bucket"].append(key[0].as_py())
-            out["data"].append(len(some).to_bytes(4, "little") + tool.compress(head.tobytes() + b"".join(c.data[i] for i in some)))
+            out["bucket"].append(bucket)
+            out["data"].append((b - a).to_bytes(4, "little") + tool.compress(head[a:b].tobytes() + texts.raw[_spread(c.low[a:b], c.size[a:b])].tobytes()))
+        if len(c.use):
+            out["place"].append(n + bucket)
+            out["bucket"].append(bucket)
+            out["data"].append(_note(c))
         return _rows(out, PLACE)
 
     return run
 
 
-def earlier_strings(head: np.ndarray, raw: np.ndarray) -> np.ndarray:
+def earlier_strings(head: np.ndarray, start: np.ndarray, raw: np.ndarray) -> np.ndarray:
     """For each context, bits of its strings (from its start) that also are in a context of a smaller document."""
     size = head["size"].astype(np.int64)
-    start = np.concatenate([[0], np.cumsum(size)[:-1]])
     # contexts of the same content: only the one of the smallest document is compared with others
-    hashes = Hashes(raw)
-    whole = hashes.of(start, size)
-    order = np.lexsort((head["doc"], size, head["before"], whole, head["hash"]))
-    h, w, b, s = head["hash"][order], whole[order], head["before"][order], size[order]
-    same = np.concatenate([[False], (h[1:] == h[:-1]) & (w[1:] == w[:-1]) & (b[1:] == b[:-1]) & (s[1:] == s[:-1])])
-    for i in np.flatnonzero(same).tolist():  # equal by hash: compare the bytes
-        x, y = start[order[i]], start[order[i - 1]]
-        same[i] = raw[x : x + s[i]].tobytes() == raw[y : y + s[i]].tobytes()
-    head_of = np.flatnonzero(~same)
+    by_doc = np.argsort(head["doc"], kind="stable")
+    order, same = _alike(raw, start[by_doc], size[by_doc], head["hash"][by_doc], head["before"][by_doc])
+    order = by_doc[order]
+    lead = order[~same]
     leader = np.empty(len(order), np.int64)
-    leader[order] = order[head_of[np.cumsum(~same) - 1]]
-    lead = order[head_of]
+    leader[order] = lead[np.cumsum(~same) - 1]
     # anchors with a single content need no sort
-    anchor, back, many = np.unique(head["hash"][lead], return_inverse=True, return_counts=True)
-    work = lead[many[back] > 1]
+    _, back, many = np.unique(head["hash"][lead], return_inverse=True, return_counts=True)
+    several = many[back] > 1
+    work, anchor = lead[several], back[several]
     bits = np.zeros(len(head), np.uint64)
     if len(work):
         count = size[work] - LENGTH + 1
-        own = np.repeat(work, count)
-        offset = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-        at = start[own] + offset
-        group = np.searchsorted(anchor, head["hash"][own]) * 64 + head["before"][own] - offset
-        first = np.argsort(group, kind="stable")
-        own, offset, at, group = own[first], offset[first], at[first], group[first]
-        _, inverse, held = np.unique(group, return_inverse=True, return_counts=True)
-        more = held[inverse] > 1
-        own, offset, at, group = own[more], offset[more], at[more], group[more]
-        if len(own):
-            order = sort_within(hashes, at, group, LENGTH)
-            classes = equal_classes(hashes, at, group, order, LENGTH)
-            doc = head["doc"][own[order]]
-            least = np.minimum.reduceat(doc, np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]])))[classes]
-            found = order[least < doc]
-            np.bitwise_or.at(bits, own[found], np.uint64(1) << offset[found].astype(np.uint64))
+        own = np.repeat(np.arange(len(work)), count)
+        offset = _spread(np.zeros(len(work), np.int64), count)
+        group = anchor[own] * 64 + head["before"][work][own] - offset
+        order, new = sort_within(raw, start[work][own] + offset, group, LENGTH)
+        first = np.flatnonzero(new)
+        doc = head["doc"][work][own[order]]
+        least = np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(order))))
+        found = order[least < doc]
+        np.bitwise_or.at(bits, work[own[found]], np.uint64(1) << offset[found].astype(np.uint64))
     full = (np.uint64(1) << (size - LENGTH + 1).astype(np.uint64)) - np.uint64(1)
     return np.where(head["doc"][leader] < head["doc"], full, bits[leader])
 
 
 #: Contexts that are sorted at a time, unless one anchor has more.
-CONTEXTS = 4096
+CONTEXTS = 1 << 14
 
 
-def _decide(key, rows):
-    tool = zstandard.ZstdDecompressor()
-    heads, datas, buckets = [], [], rows.column("bucket").to_pylist()
-    for data in rows.column("data").to_pylist():
-        n = int.from_bytes(data[:4], "little")
-        raw = tool.decompress(data[4:])
-        heads.append(np.frombuffer(raw[: n * HEADER.itemsize], HEADER))
-        datas.append(raw[n * HEADER.itemsize :])
-    head, datas = np.concatenate(heads), b"".join(datas)
-    size = head["size"].astype(np.int64)
-    start = np.cumsum(size) - size
-    # a few anchors at a time, each with all of its contexts
-    order = np.argsort(head["hash"], kind="stable")
-    ranked = head["hash"][order]
-    cuts = np.append(np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])), len(order)).tolist()
-    bits, begin = np.zeros(len(head), np.uint64), 0
-    for here, after in zip(cuts[1:], [*cuts[2:], None]):
-        if after is None or after - begin > CONTEXTS:
-            some = order[begin:here]
-            raw = b"".join([datas[a:e] for a, e in zip(start[some].tolist(), (start[some] + size[some]).tolist())])
-            bits[some] = earlier_strings(head[some], np.frombuffer(raw, np.uint8))
-            begin = here
-    out = {"place": [], "bucket": [], "data": []}
-    at = 0
-    for b, h in zip(buckets, heads, strict=True):
-        some = bits[at : at + len(h)]
-        at += len(h)
-        if some.any():
-            out["place"].append(key[0].as_py())
-            out["bucket"].append(b)
-            out["data"].append(zstandard.compress(some.astype("<u4").tobytes(), 1))
-    return _rows(out, PLACE)
+def _decide(n: int):
+    def run(key, rows):
+        place, tool, back = key[0].as_py(), zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        if place >= n:  # a bucket's note to itself
+            return rows
+        heads, datas, buckets = [], [], rows.column("bucket").to_pylist()
+        for data in rows.column("data").to_pylist():
+            m = int.from_bytes(data[:4], "little")
+            raw = tool.decompress(data[4:])
+            heads.append(np.frombuffer(raw[: m * HEADER.itemsize], HEADER))
+            datas.append(raw[m * HEADER.itemsize :])
+        head, raw = np.concatenate(heads), np.frombuffer(b"".join(datas), np.uint8)
+        size = head["size"].astype(np.int64)
+        start = np.cumsum(size) - size
+        # a few anchors at a time, each with all of its contexts
+        order = np.argsort(head["hash"], kind="stable")
+        ranked = head["hash"][order]
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])), len(order)).tolist()
+        bits, begin = np.zeros(len(head), np.uint64), 0
+        for here, after in zip(cuts[1:], [*cuts[2:], None]):
+            if after is None or after - begin > CONTEXTS:
+                some = order[begin:here]
+                bits[some] = earlier_strings(head[some], start[some], raw)
+                begin = here
+        out = {"place": [], "bucket": [], "data": []}
+        at = 0
+        for b, h in zip(buckets, heads, strict=True):
+            some = bits[at : at + len(h)]
+            at += len(h)
+            if some.any():
+                out["place"].append(place)
+                out["bucket"].append(b)
+                out["data"].append(back.compress(some.astype("<u4").tobytes()))
+        return _rows(out, PLACE)
+
+    return run
 
 
 assert LENGTH - PIECE + 1 <= 32
 
 
+def _covered(texts: Texts, replies: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, start and end (in ``raw``) of the runs that earlier documents' strings cover, in order."""
+    by_place = dict(zip(replies.column("place").to_pylist(), replies.column("data").to_pylist(), strict=True))
+    note = next((data for p, data in by_place.items() if p >= n), None)
+    if note is None:
+        return (np.zeros(0, np.int64),) * 3
+    place, size, least, use, at = _read_note(note)
+    bits = np.zeros(len(place), np.uint64)
+    tool = zstandard.ZstdDecompressor()
+    for p, a, b in _cuts(place):
+        if p in by_place:
+            bits[a:b] = np.frombuffer(tool.decompress(by_place[p]), "<u4")
+    text = np.searchsorted(texts.edges, at, "right") - 1
+    whole = texts.doc[text] != texts.doc[least[use]]  # a smaller document of the bucket has all of the context
+    starts, ends = [at[whole]], [(at + size[use])[whole]]
+    own = np.flatnonzero(~whole & (bits[use] != 0))
+    for o in range(LENGTH - PIECE + 1):
+        some = at[own[bits[use[own]] >> np.uint64(o) & np.uint64(1) != 0]] + o
+        starts.append(some)
+        ends.append(some + LENGTH)
+    starts, ends = np.concatenate(starts), np.concatenate(ends)
+    order = np.argsort(starts)
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    text = np.searchsorted(texts.edges, starts, "right") - 1
+    new = np.ones(len(starts), bool)
+    new[1:] = (starts[1:] > ends[:-1]) | (text[1:] != text[:-1])
+    head = np.flatnonzero(new)
+    return text[head], starts[head], ends[np.append(head[1:], len(starts))[: len(head)] - 1]
+
+
 def _finish(n: int):
     """Removed runs of each different text, judged as its smallest document."""
 
-    def run(key, rows, replies, masks):
+    def run(key, rows, replies):
         texts = Texts(rows)
-        c = Contexts(texts, replies, n)
-        bits = np.zeros(len(c.hash), np.uint64)
-        by_place = dict(zip(masks.column("place").to_pylist(), masks.column("data").to_pylist(), strict=True))
-        for p, a, b in _cuts(c.place[c.order]):
-            if p in by_place:
-                bits[c.order[a:b]] = np.frombuffer(zstandard.decompress(by_place[p]), "<u4")
-        length = np.array([len(x) for x in c.data], np.int64) - LENGTH + 1
-        strings: list[list[tuple[int, int]]] = [[] for _ in texts.text]  # covered runs (start, end)
-        for i, t, at in c.uses:
-            if texts.doc[t] != texts.doc[c.least[i]]:
-                strings[t].append((at, at + int(length[i]) - 1 + LENGTH))
-            elif bits[i]:
-                b, o = int(bits[i]), 0
-                while b:
-                    if b & 1:
-                        strings[t].append((at + o, at + o + LENGTH))
-                    b >>= 1
-                    o += 1
+        text, starts, ends = _covered(texts, replies, n)
+        raw = memoryview(texts.raw)
+        cuts, base = np.searchsorted(text, np.arange(len(texts.sha) + 1)).tolist(), texts.edges.tolist()
+        starts, ends = starts.tolist(), ends.tolist()
         out = {"sha": [], "first": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "starts": [], "ends": []}
-        for t, (sha, text) in enumerate(zip(texts.sha, texts.text, strict=True)):
-            spans: list[list[int]] = []
-            for a, b in sorted(strings[t]):
-                if spans and a <= spans[-1][1]:
-                    spans[-1][1] = max(b, spans[-1][1])
-                else:
-                    spans.append([a, b])
-            digest, at = hashlib.sha256(), 0
-            for a, b in spans:
-                digest.update(text[at:a])
+        for t, sha in enumerate(texts.sha):
+            low, high, zero = starts[cuts[t] : cuts[t + 1]], ends[cuts[t] : cuts[t + 1]], base[t]
+            digest, at = hashlib.sha256(), zero
+            for a, b in zip(low, high, strict=True):
+                digest.update(raw[at:a])
                 at = b
-            digest.update(text[at:])
+            digest.update(raw[at : base[t + 1]])
             out["sha"].append(sha)
             out["first"].append(int(texts.doc[t]))
-            out["n_removed"].append(sum(b - a for a, b in spans))
-            out["n_spans"].append(len(spans))
+            out["n_removed"].append(sum(high) - sum(low))
+            out["n_spans"].append(len(low))
             out["kept_sha256"].append(digest.hexdigest())
-            out["starts"].append([a for a, _ in spans])
-            out["ends"].append([b for _, b in spans])
+            out["starts"].append([a - zero for a in low])
+            out["ends"].append([b - zero for b in high])
         longs = pa.list_(pa.int64())
         return _rows(out, {"sha": pa.binary(), "first": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "starts": longs, "ends": longs})
 
@@ -443,7 +476,8 @@ def removed_strings(docs: DataFrame, key: str = "doc_id", text: str = "text", bu
     all others.  Rows with one doc_id never remove each other's strings.  ``key`` must be integral.
     Very long texts are hashed in pieces that overlap by LENGTH - 1 bytes.  Empty table: no rows.  Other columns are ignored.
     """
-    n = max(1, -(-total_bytes(docs, text) // bucket_bytes))
+    total = total_bytes(docs, text)
+    n = max(1, -(-total // bucket_bytes), min(BUCKETS, total // LEAST_BYTES))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
     dealt = rows.mapInArrow(_once(n), "bucket long, sha binary, doc long, text binary")
     place = "place long, bucket long, data binary"
@@ -452,19 +486,10 @@ def removed_strings(docs: DataFrame, key: str = "doc_id", text: str = "text", bu
     replies = hashes.groupBy("place").applyInArrow(_released(_find_shared), place)
     send = _released(_send_contexts(n))
     contexts = bucket(dealt).cogroup(bucket(replies)).applyInArrow(lambda key, left, right: send(key, left, right), place)
-    masks = contexts.groupBy("place").applyInArrow(_released(_decide), place)
-    # the two kinds of reply travel together, so that the last step is one cogroup
-    both = replies.withColumn("kind", F.lit(0)).unionByName(masks.withColumn("kind", F.lit(1)))
+    masks = contexts.groupBy("place").applyInArrow(_released(_decide(n)), place)
     finish = _released(_finish(n))
-
-    def last(group, left, right):
-        import pyarrow.compute as pc
-
-        pick = lambda k: right.filter(pc.equal(right.column("kind"), k))
-        return finish(group, left, pick(0), pick(1))
-
     out = "sha binary, first long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
-    judged = bucket(dealt).cogroup(bucket(both)).applyInArrow(last, out)
+    judged = bucket(dealt).cogroup(bucket(masks)).applyInArrow(lambda key, left, right: finish(key, left, right), out)
     every = docs.select(F.col(key).alias("doc_id"), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)).alias("sha"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
     joined = every.join(judged, "sha")
     copy = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL)) != F.col("first")) & (F.col("n_bytes") >= LENGTH)

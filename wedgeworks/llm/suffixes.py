@@ -1,10 +1,9 @@
-"""Suffix sort by hash comparison, in numpy.
+"""Suffix sort by words of eight bytes, and prefix hashes, in numpy.
 
-Prefix polynomial hashes give the hash of any substring in constant time; a binary
-search over lengths then finds the common extension of two suffixes, so a
-comparison takes a logarithmic number of steps.  A bottom-up mergesort ranks all
-elements of sibling runs at once, by binary search of each in its sibling.
-Equality found by hash is verified on the bytes.
+Suffixes are put in order by their first eight bytes, then those that are equal so far
+by the next eight, and so on; what has no equal left takes no further part.  Bytes are
+compared themselves, so equality is exact.  Prefix polynomial hashes give the hash of
+any substring in constant time.
 """
 
 from __future__ import annotations
@@ -15,11 +14,16 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
+#: By base: its powers, as far as they have been needed.
+_known: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(1, np.uint64)
+    out = _known.get(base, np.ones(1, np.uint64))
     while len(out) < n:
         step = np.uint64(pow(base, len(out), 1 << 64))
         out = np.concatenate([out, out * step])
+    _known[base] = out
     return out[:n]
 
 
@@ -38,80 +42,26 @@ class Hashes:
         np.cumsum(VALUES[raw] * _powers(BASE, n), out=self.prefix[1:])
         self.back = _powers(INVERSE, n + 1)
 
-    def of(self, at: np.ndarray, length) -> np.ndarray:
-        """Hash of the substrings that begin at ``at``."""
-        return (self.prefix[at + length] - self.prefix[at]) * self.back[at]
-
-    def common(self, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-        """Length of the common extension of suffixes a and b, up to ``length``, by binary search."""
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), length, np.int64)
-        for _ in range(int(length).bit_length()):
-            middle = (low + high + 1) >> 1
-            same = self.of(a, middle) == self.of(b, middle)
-            low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
-        return low
-
-    def before(self, a: np.ndarray, b: np.ndarray, length: int, or_equal: bool) -> np.ndarray:
-        """Whether suffix a, cut to ``length`` bytes, sorts before b (or is equal to it)."""
-        n = self.common(a, b, length)
-        equal = n == length
-        at = np.where(equal, 0, n)
-        return np.where(equal, or_equal, self.raw[a + at] < self.raw[b + at])
-
-
-def sort_within(hashes: Hashes, at: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
-    """Order of the suffixes ``at``, cut to ``length`` bytes, inside each group.
-
-    ``group`` is ascending.  Returns positions into ``at``.
-    """
-    order = np.arange(len(at))
-    if not len(at):
-        return order
-    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    size = np.diff(np.append(first, len(at)))
-    start, total = np.repeat(first, size), np.repeat(size, size)
-    inside = np.arange(len(at)) - start
-    run = 1
-    while run < size.max():
-        # elements in pairs of runs of which the second one isn't empty
-        pair = inside // (2 * run) * (2 * run)
-        active = np.flatnonzero((total > run) & (pair + run < total))
-        if len(active):
-            base, own = start[active] + pair[active], inside[active] - pair[active]
-            left = own < run
-            other = base + np.where(left, run, 0)
-            many = np.where(left, np.minimum(run, total[active] - pair[active] - run), run)
-            low, high = np.zeros(len(active), np.int64), many.copy()
-            mine = at[order[active]]
-            for _ in range(int(run).bit_length() + 1):
-                open_ = np.flatnonzero(low < high)
-                if not len(open_):
-                    break
-                middle = (low[open_] + high[open_]) >> 1
-                theirs = at[order[other[open_] + middle]]
-                # equal elements keep their order: those of the left run come first
-                first_ = np.empty(len(open_), bool)
-                for side in (True, False):
-                    some = left[open_] == side
-                    first_[some] = hashes.before(theirs[some], mine[open_][some], length, not side)
-                low[open_] = np.where(first_, middle + 1, low[open_])
-                high[open_] = np.where(first_, high[open_], middle)
-            new = base + np.where(left, own, own - run) + low
-            moved = order.copy()
-            moved[new] = order[active]
-            order = moved
-        run *= 2
-    return order
-
-
-def equal_classes(hashes: Hashes, at: np.ndarray, group: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """Class of each element of ``order``: same group and same ``length`` bytes, verified byte by byte."""
-    a, b = at[order[:-1]], at[order[1:]]
-    same = group[order[1:]] == group[order[:-1]]
-    same[same] = hashes.common(a[same], b[same], length) == length
-    pick = np.flatnonzero(same)
-    for i in range(0, len(pick), 1 << 16):
-        some = pick[i : i + (1 << 16)]
-        span = np.arange(length)
-        same[some] = (hashes.raw[a[some][:, None] + span] == hashes.raw[b[some][:, None] + span]).all(1)
-    return np.cumsum(np.concatenate([[0], ~same])) if len(order) else order
+
+def words(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number: the first byte counts most."""
+    return np.ndarray(max(0, len(raw) - 7), ">u8", raw, 0, (1,))
+
+
+def sort_within(raw: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes ``at``, cut to ``length`` bytes (eight at least), inside each group; and in that order, which
+    differ from the one before in group or in a byte."""
+    order = np.argsort(group, kind="stable")
+    view, new = words(raw), np.ones(len(at), bool)
+    new[1:] = group[order[1:]] != group[order[:-1]]
+    for offset in [*range(0, length - 8, 8), length - 8]:
+        alone = new & np.append(new[1:], True)
+        open_ = np.flatnonzero(~alone)
+        if not len(open_):
+            break
+        some, of = order[open_], np.cumsum(new)[open_]
+        word = view[at[some] + offset].astype(np.uint64)
+        by = np.lexsort((word, of))
+        order[open_], word, of = some[by], word[by], of[by]
+        new[open_[1:]] |= (word[1:] != word[:-1]) & (of[1:] == of[:-1])
+    return order, new
