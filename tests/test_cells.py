@@ -10,6 +10,7 @@ from graphs import frame, triangles
 from wedgeworks.operators.edges import symmetrize
 from wedgeworks.plans import cells
 from wedgeworks.plans import triangles as T
+from wedgeworks.sources import derived
 
 RNG = np.random.default_rng(5)
 #: A dense part, a sparse one of far ids (negative and beyond 32 bits), a hub, and a clique.
@@ -78,3 +79,28 @@ def test_lists_are_packed_without_loss():
     for part, want in ((batch, lists), (batch.slice(1, 3), lists[1:4])):
         ids, at = cells._unpacked(part)
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
+
+
+def test_users_of_an_hour_meet_in_rows_of_bits(spark, monkeypatch):
+    """The dense graph's pairs are no rows, whatever the size of cells; a sparse one's are, as there are fewer."""
+    rng = np.random.default_rng(8)
+    rows = [(int(g), int(m)) for g, m in zip(rng.integers(0, 6, 900), rng.choice([*range(-50, 150), 1 << 40], 900))]
+    rows += [(7, 1 << 41), (None, 3), (None, 4), (2, None)]
+    frame_ = spark.createDataFrame(rows, "g int, m long")
+    held = {}
+    for g, m in rows:
+        if g is not None and m is not None:
+            held.setdefault(g, set()).add(m)
+    want = sorted({p for ms in held.values() for p in combinations(sorted(ms), 2)})
+    for bits in (1 << 29, 3000, 1):
+        lists = derived.neighbour_lists(frame_, ["g"], "m", bits)
+        dense = "Join" not in lists._jdf.queryExecution().optimizedPlan().toString()
+        assert dense == (bits > 1)
+        assert sorted((r["u"], v) for r in lists.collect() for v in r["out"]) == want
+        assert all(r["out"] == sorted(r["out"]) for r in lists.collect())
+        assert T.count_by_lists(lists).first()[0] == triangles(want)
+    rows_of = pa.RecordBatch.from_pydict({"u": [0] * len(held), "out": [sorted(x) for x in held.values()]})
+    dealt = pa.Table.from_batches(cells._deal([], (False, True))([rows_of]))
+    found = [(u, v) for part in cells._united(2000)(iter(dealt.to_batches())) for u, out in zip(part["u"].to_pylist(), part["out"].to_pylist()) for v in out]
+    assert sorted(found) == want  # in slices of rows
+    assert T.count_by_lists(derived.neighbour_lists(frame_.where("false"), ["g"], "m")).first()[0] == 0

@@ -26,6 +26,8 @@ GRID, PER_CORE = 4096, 2
 LEAST = 1 << 15
 #: Bytes that a step from id to id may take.
 WIDTHS = {1: "<u1", 2: "<u2", 8: "<i8"}
+#: No id is greater.
+TOP = (1 << 63) - 1
 #: Bits looked at in the time that a wedge takes; wedges with an equal head and src are then counted in words.
 WORTH = 512
 
@@ -76,21 +78,26 @@ def _unpacked(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return steps - np.repeat(steps[off[:-1]] - first, counts), off
 
 
-def shape(edges: DataFrame, cell: int = CELL) -> tuple[list[int], int, int]:
-    """(first src of each cell but the first, most neighbours dst > src of a vertex, edges), in one pass."""
-    per = edges.groupBy("src").agg(F.count("*").alias("d"))
+def shape(edges: DataFrame, cell: int = CELL) -> tuple[list[int], int, int, int]:
+    """(first src of each cell but the first, most neighbours dst > src of a vertex, edges, greatest src), in one pass."""
+    return shape_by_degree(edges.groupBy("src").agg(F.count("*").alias("d")), cell)
+
+
+def shape_by_degree(per: DataFrame, cell: int = CELL) -> tuple[list[int], int, int, int]:
+    """``shape`` from the number of neighbours dst > src of each vertex: (src, d)."""
     weighed = per.select("src", "d", F.explode(F.sequence(F.lit(0).cast("long"), whole(F.col("d"), 64))).alias("_k"))
     grid = F.percentile_approx("src", [i / GRID for i in range(1, GRID)], 4 * GRID)
-    most, total, cuts = weighed.agg(F.max("d"), F.sum(F.when(F.col("_k") == 0, F.col("d"))), grid).first()
+    most, total, cuts, top = weighed.agg(F.max("d"), F.sum(F.when(F.col("_k") == 0, F.col("d"))), grid, F.max("src")).first()
     total = total or 0
-    tasks = min(PER_CORE * edges.sparkSession.sparkContext.defaultParallelism, total // LEAST + 1)
+    tasks = min(PER_CORE * per.sparkSession.sparkContext.defaultParallelism, total // LEAST + 1)
     n = min(GRID, max(-(-total // cell), tasks))
-    return sorted({cuts[i * GRID // n - 1] for i in range(1, n)}), most or 0, total
+    return sorted({cuts[i * GRID // n - 1] for i in range(1, n)}), most or 0, total, top or 0
 
 
-def _deal(cuts: list[int], kinds: tuple[bool, bool]):
+def _deal(cuts: list[int], kinds: tuple[bool, bool], top: int = TOP):
     """Rows (u, out) to rows (cell, kind, key, first, width, steps): closing lists (kind 0) to the cell of u, and lists of
-    heads (kind 1), key being how many of the ids, the first ones, are lesser ends in that cell."""
+    heads (kind 1), key being how many of the ids, the first ones, are lesser ends in that cell.  Nothing closes wedges
+    whose lesser end is beyond ``top``, the greatest src, so they aren't dealt."""
     bounds = np.array(cuts, np.int64)
 
     def rows(cell, kind, key, ids, starts, counts):
@@ -118,6 +125,9 @@ def _deal(cuts: list[int], kinds: tuple[bool, bool]):
                     starts = np.flatnonzero(new)
                     end = off[row[starts] + 1]
                     lesser = np.minimum(np.append(starts[1:], len(ids)), end - 1) - starts
+                    if top < TOP:
+                        done = np.concatenate([[0], np.cumsum(ids <= top)])
+                        lesser = np.minimum(lesser, done[np.append(starts[1:], len(ids))] - done[starts])
                     ok = lesser > 0
                     starts, end, lesser = starts[ok], end[ok], lesser[ok]
                     yield from rows(cell[starts], 1, lesser, ids, starts, end - starts)
@@ -325,7 +335,54 @@ def _look_up(method: str, prune: bool, group: bool, listed: bool, shape_of: Call
     return run
 
 
-def look_up(heads: DataFrame | None, closing: DataFrame, cuts: list[int], method: str = "any", prune: bool = False, group: bool = False, listed: bool = False, shape_of=lambda n: (64 * n, 1)) -> DataFrame:
+#: What ``_deal`` makes.
+DEALT = "cell int, kind int, key long, first long, width int, steps binary"
+
+
+def _united(bits: int):
+    """Lists dealt to a cell to rows (u, out): for each lesser end there, the greater ids of all lists that hold it."""
+
+    def run(parts):
+        kept = [(part.column("key").to_numpy(zero_copy_only=False).copy(), *_unpacked(part)) for part in parts]
+        if not kept:
+            return
+        columns = np.unique(np.concatenate([np.unique(ids) for _, ids, _ in kept]))
+        rows = np.unique(np.concatenate([ids[_spread(off[:-1], key)] for key, ids, off in kept]))
+        words = -(-len(columns) // 64)
+        step = max(1, bits // (64 * words))
+        for at in range(0, len(rows), step):  # rows of bits, a bounded number at a time
+            some = rows[at : at + step]
+            table = np.zeros((len(some), words), np.uint64)
+            for key, ids, off in kept:
+                for n, a, b in zip(key.tolist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
+                    r = ids[a : a + n]
+                    r = np.searchsorted(some, r[(r >= some[0]) & (r <= some[-1])])
+                    if len(r):
+                        mine = np.zeros(words * 64, bool)
+                        mine[np.searchsorted(columns, ids[a:b])] = True
+                        table[r] |= np.packbits(mine, bitorder="little").view(np.uint64)
+            own = np.searchsorted(columns, some)
+            few = max(1, BATCH // (64 * words))
+            for i in range(0, len(some), few):
+                found = np.unpackbits(table[i : i + few].view(np.uint8), axis=1, bitorder="little").view(bool)
+                found &= np.arange(words * 64) > own[i : i + few, None]
+                at_row, at_column = np.nonzero(found)
+                off = np.searchsorted(at_row, np.arange(len(found) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(some[i : i + few]), pa.ListArray.from_arrays(pa.array(off), pa.array(columns[at_column]))], ["u", "out"])
+
+    return run
+
+
+def united(lists: DataFrame, cuts: list[int], bits: int = BITS) -> DataFrame:
+    """(u, out): the greater ids that share a list (out: sorted, distinct) with u, sorted; none for the greatest of all.
+
+    Each list goes once to each cell in which it has a lesser end, so pairs are never shuffled; they meet as rows of bits.
+    """
+    dealt = lists.select(F.lit(0).cast("long").alias("u"), "out").mapInArrow(_deal(cuts, (False, True)), DEALT)
+    return dealt.repartitionById(len(cuts) + 1, F.col("cell")).mapInArrow(_united(bits), "u long, out array<long>")
+
+
+def look_up(heads: DataFrame | None, closing: DataFrame, cuts: list[int], method: str = "any", prune: bool = False, group: bool = False, listed: bool = False, shape_of=lambda n: (64 * n, 1), top: int = TOP) -> DataFrame:
     """Wedges x < y of the lists ``heads`` (u, out), sorted by id, that an edge of ``closing`` (u, out) closes.
 
     Returns their number in each cell as (n), or with ``listed`` the closing edges (src, dst).  ``heads`` None: those of
@@ -333,11 +390,11 @@ def look_up(heads: DataFrame | None, closing: DataFrame, cuts: list[int], method
     hash (a table of hashes, then the edges), bloom (a filter of ``shape_of`` (edges) bits and probes: some wedges too
     many), verified (that filter, then the edges), array (rows of bits where the cell is dense, else any).
     ``prune``: wedges beyond the lesser end's greatest neighbour go first.  ``group``: equal ends of a batch are checked once.
+    ``top``: the greatest u of ``closing``, if known.
     """
-    kind = "cell int, kind int, key long, first long, width int, steps binary"
     if heads is None:
-        dealt = closing.mapInArrow(_deal(cuts, (True, True)), kind)
+        dealt = closing.mapInArrow(_deal(cuts, (True, True), top), DEALT)
     else:
-        dealt = closing.mapInArrow(_deal(cuts, (True, False)), kind).unionByName(heads.mapInArrow(_deal(cuts, (False, True)), kind))
+        dealt = closing.mapInArrow(_deal(cuts, (True, False)), DEALT).unionByName(heads.mapInArrow(_deal(cuts, (False, True), top), DEALT))
     placed = dealt.repartitionById(len(cuts) + 1, F.col("cell")).sortWithinPartitions("kind")
     return placed.mapInArrow(_look_up(method, prune, group, listed, shape_of), "src long, dst long" if listed else "n long")

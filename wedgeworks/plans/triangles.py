@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wedgeworks.operators.edges import oriented, settled
-from wedgeworks.plans.cells import look_up, shape
+from wedgeworks.plans.cells import look_up, shape, shape_by_degree
 
 #: Largest edge table, in bytes of its ids, that the broadcast plan sends to every executor, and the share of the
 #: driver's memory that these bytes may be: the table that it builds takes some five times as much.
@@ -47,11 +47,14 @@ def common_neighbours(edges: DataFrame, orient: str = "auto") -> DataFrame:
 
 def _looked_up(edges: DataFrame, orient: str, listed: bool = False, **how) -> DataFrame:
     """Wedges of each vertex's out-neighbours, looked up in the cells of their closing edges."""
-    cuts, most, total = shape(edges)
-    if orient == "auto":  # as ``settled`` does, in the same pass
-        orient = "id" if most**2 <= 2 * total else "degree"
-    heads = None if orient == "id" else adjacency(edges, orient)
-    return look_up(heads, adjacency(edges, "id"), cuts, listed=listed, **how)
+    cuts, most, total, top = shape(edges)
+    heads = None if _by(orient, most, total) == "id" else adjacency(edges, "degree")
+    return look_up(heads, adjacency(edges, "id"), cuts, listed=listed, top=top, **how)
+
+
+def _by(orient: str, most: int, total: int) -> str:
+    """As ``settled`` does, from what is known already."""
+    return orient if orient != "auto" else "id" if most**2 <= 2 * total else "degree"
 
 
 def _total(counts: DataFrame) -> DataFrame:
@@ -63,6 +66,15 @@ def count_by_arrays(edges: DataFrame, orient: str = "auto") -> DataFrame:
     return _total(_looked_up(edges, orient, method="array"))
 
 
+def count_by_lists(lists: DataFrame, orient: str = "auto") -> DataFrame:
+    """``count_by_arrays`` of a graph that is given as lists (u, out) of greater neighbours, sorted by id: where vertices
+    are ordered by id, its edges never become rows."""
+    lists = lists.where(F.size("out") > 0)
+    cuts, most, total, top = shape_by_degree(lists.select(F.col("u").alias("src"), F.size("out").cast("long").alias("d")))
+    heads = None if _by(orient, most, total) == "id" else adjacency(lists.select(F.col("u").alias("src"), F.explode("out").alias("dst")), "degree")
+    return _total(look_up(heads, lists, cuts, method="array", top=top))
+
+
 def triangles(edges: DataFrame, orient: str = "auto") -> DataFrame:
     """Every triangle once, as a < b < c."""
     rows = common_neighbours(edges, orient).select("u", "v", F.explode("common").alias("w"))
@@ -110,8 +122,8 @@ def count_raw(symmetric: DataFrame) -> DataFrame:
     """Unordered heads: every triangle is found three times, and the total divided by three."""
     edges = symmetric.where("head < tail").select(F.col("head").alias("src"), F.col("tail").alias("dst"))
     heads = symmetric.groupBy(F.col("head").alias("u")).agg(F.sort_array(F.collect_list("tail")).alias("out"))
-    cuts, _, _ = shape(edges)
-    return look_up(heads, adjacency(edges, "id"), cuts).agg(F.expr("coalesce(sum(n), 0L) div 3").alias("triangles"))
+    cuts, _, _, top = shape(edges)
+    return look_up(heads, adjacency(edges, "id"), cuts, top=top).agg(F.expr("coalesce(sum(n), 0L) div 3").alias("triangles"))
 
 
 def closing_edges(edges: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wedgeworks.operators.edges import canonicalize
+from wedgeworks.plans.cells import BITS, GRID, PER_CORE, united
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,26 @@ def cooccurrence(rows: DataFrame, group: list[str], member: str) -> DataFrame:
     return a.join(b, group).where("src < dst").select("src", "dst").repartition("src").distinct()
 
 
+def neighbour_lists(rows: DataFrame, group: list[str], member: str, bits: int = BITS) -> DataFrame:
+    """(u, out): members beyond u that share a group with it, sorted: the graph of ``cooccurrence``, as lists.
+
+    Where groups are large, they go to ranges of members, whose rows of bits they fill; where that would shuffle more
+    ids than there are pairs, pairs are shuffled.  Members are integral; a group's members must fit a row.
+    """
+    held = rows.select(*group, F.col(member).cast("long").alias("_m")).dropna().distinct()
+    lists = held.groupBy(*group).agg(F.sort_array(F.collect_list("_m")).alias("out"))
+    k = F.size("out").cast("long")
+    ids, pairs = lists.agg(F.sum(k), F.sum(k * (k - 1) / 2)).first()
+    different = held.select("_m").distinct()
+    grid = F.percentile_approx("_m", [i / GRID for i in range(1, GRID)], 4 * GRID)
+    vertices, marks = different.agg(F.count("*"), grid).first()
+    cells = max(-(-(vertices**2) // bits), PER_CORE * rows.sparkSession.sparkContext.defaultParallelism)
+    if cells > GRID or cells * (ids or 0) >= (pairs or 0):
+        edges = cooccurrence(rows.withColumn(member, F.col(member).cast("long")), group, member)
+        return edges.groupBy(F.col("src").alias("u")).agg(F.sort_array(F.collect_list("dst")).alias("out"))
+    return united(lists, sorted({marks[i * GRID // cells - 1] for i in range(1, cells)}), bits)
+
+
 def part_coorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccurrence(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_partkey")
 
@@ -34,5 +55,6 @@ def part_supp(spark: SparkSession, sf_dir: str, shift: int = 10_000_000) -> Data
 
 
 def user_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As lists: an hour's users are many."""
     rows = table(spark, sf_dir, "events").select("event_type", F.date_trunc("hour", "ts").alias("hour"), "user_id")
-    return cooccurrence(rows, ["event_type", "hour"], "user_id")
+    return neighbour_lists(rows, ["event_type", "hour"], "user_id")
