@@ -81,6 +81,18 @@ def test_lists_are_packed_without_loss():
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
 
 
+@pytest.mark.parametrize("top", [39, 200, cells.TOP])
+def test_lists_that_nothing_closes_are_not_dealt(top):
+    """Of a bipartite graph no head goes anywhere; else a head's ids beyond the greatest src are no lesser ends."""
+    rows = pa.RecordBatch.from_pydict({"u": [1, 2, 3], "out": [[1000, 1001], [3, 1000, 1002], [5, 39, 40, 200, 1001]]})
+    dealt = pa.Table.from_batches(cells._deal([3, 100], (False, True), top)([rows]))
+    ends = []
+    for batch in dealt.to_batches():
+        ids, off = cells._unpacked(batch)
+        ends += [i for n, a in zip(batch.column("key").to_pylist(), off) for i in ids[a : a + n].tolist()]
+    assert sorted(ends) == {39: [3, 5, 39], 200: [3, 5, 39, 40, 200], cells.TOP: [3, 5, 39, 40, 200, 1000, 1000]}[top]
+
+
 def test_users_of_an_hour_meet_in_rows_of_bits(spark, monkeypatch):
     """The dense graph's pairs are no rows, whatever the size of cells; a sparse one's are, as there are fewer."""
     rng = np.random.default_rng(8)
