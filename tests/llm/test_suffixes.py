@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from wedgeworks.llm import substrings
 from wedgeworks.llm.suffixes import sort_within
@@ -29,3 +30,11 @@ def test_larger_tables_get_larger_buckets_first(spark, docs, monkeypatch):
     assert substrings.BUCKET_BYTES >= 8 << 20
     small = [sorted(map(tuple, substrings.removed_strings(docs, bucket_bytes=b).drop("starts", "ends").collect()), key=str) for b in (3000, 8 << 20)]
     assert small[0] == small[1]
+
+
+def test_places_hold_near_equal_numbers_of_anchors():
+    """An anchor's hash is the least of some thirty, so its own high bits would send most anchors to the first places."""
+    raw = bytes(random.Random(4).choices(range(97, 123), k=200_000))
+    rows = pa.table({"sha": pa.array([b"x", b"x"], pa.binary()), "doc": [None, 1], "text": pa.array([raw, None], pa.binary())})
+    held = np.bincount(substrings._to(substrings.Anchors(substrings.Texts(rows)).hash, 50), minlength=50)
+    assert held.max() < 1.3 * held.mean()

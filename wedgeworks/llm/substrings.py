@@ -125,7 +125,8 @@ MOST = 2 * LENGTH - PIECE
 
 
 def _to(hashes: np.ndarray, n: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    """Places of anchors, by their hashes mixed anew: being minima, these are small."""
+    return ((mix64(hashes) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 def _short(hashes: np.ndarray) -> np.ndarray:
