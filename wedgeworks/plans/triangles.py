@@ -75,6 +75,15 @@ def count_by_lists(lists: DataFrame, orient: str = "auto") -> DataFrame:
     return _total(look_up(heads, lists, cuts, method="array", top=top))
 
 
+def count_by_arcs(arcs: DataFrame) -> DataFrame:
+    """Distinct arcs (src, dst) from x to y, x to z and y to z, y < z, whether or not arcs rise: the triangles, where all do."""
+    if arcs.where("src >= dst").isEmpty():
+        return count_by_arrays(arcs)
+    closing = arcs.where("src < dst")
+    cuts, _, _, top = shape(closing)
+    return _total(look_up(adjacency(arcs, "id"), adjacency(closing, "id"), cuts, method="array", top=top))
+
+
 def triangles(edges: DataFrame, orient: str = "auto") -> DataFrame:
     """Every triangle once, as a < b < c."""
     rows = common_neighbours(edges, orient).select("u", "v", F.explode("common").alias("w"))

@@ -144,7 +144,7 @@ QUERIES: dict = {
     "triangle_count_bloom": _counting("bloom"),
     "triangle_count_bloom_verified": _counting("bloom_verified"),
     "triangle_count_suppliers": _on_graph(derived.supp_coorder, T.count_by_arrays),
-    "triangle_count_bipartite": _on_graph(derived.part_supp, T.count_by_arrays),
+    "triangle_count_bipartite": _on_graph(derived.part_supp, T.count_by_arcs),
     "triangle_count_users": _on_graph(derived.user_hour, T.count_by_lists),
     "closing_edges_distinct": _on_graph(_edges, T.closing_edges),
     "wedge_count": _on_graph(_sym, W.wedge_count),

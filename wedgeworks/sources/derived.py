@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wedgeworks.operators.edges import canonicalize
 from wedgeworks.plans.cells import BITS, GRID, PER_CORE, united
 
 
@@ -49,9 +48,9 @@ def supp_coorder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_supp(spark: SparkSession, sf_dir: str, shift: int = 10_000_000) -> DataFrame:
-    """Bipartite: parts, and suppliers shifted beyond them."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + F.lit(shift)).alias("dst"))
-    return canonicalize(rows)
+    """Distinct arcs from parts to suppliers, which are shifted: bipartite if beyond all parts, else ids of both may be alike."""
+    part, supplier = (F.col(c).cast("long") for c in ("l_partkey", "l_suppkey"))  # 32-bit keys may not bear the shift
+    return table(spark, sf_dir, "lineitem").select(part.alias("src"), (supplier + F.lit(shift)).alias("dst")).dropna().distinct()
 
 
 def user_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
