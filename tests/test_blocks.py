@@ -1,5 +1,10 @@
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 
+import __spark_entry__
 from wedgeworks.sources import blocks
 
 
@@ -20,3 +25,23 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(blocks, "TILE", (16, 8))
     found = [p for s, d in blocks.near_pairs(np.arange(300), np.arange(300), e, e, 1.5, True) for p in zip(s.tolist(), d.tolist(), strict=True)]
     assert sorted(found) == want
+
+
+@pytest.mark.parametrize("kind", ["single", "empty"])
+def test_vectors_near_the_radius_like_sql(spark, tmp_path, kind):
+    """Pairs whose distance is within a rounding error of the radius, in single precision; vectors of no length."""
+    rng = np.random.default_rng(7)
+    if kind == "single":
+        base = rng.normal(size=(200, 64))
+        step = rng.normal(size=(200, 64))
+        near = base + step * (1.2 / np.linalg.norm(step, axis=1))[:, None]
+        e = np.concatenate([base, near]).astype(np.float32)
+    else:
+        e = np.zeros((3, 0))
+    table = pa.table({"vec_id": pa.array(range(len(e)), pa.int64()), "embedding": pa.array(e.tolist(), pa.list_(pa.float32()))})
+    pq.write_table(table, tmp_path / "embeddings.parquet")
+    got = __spark_entry__.queries()["embedding_radius_graph"](spark, str(tmp_path)).collect()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    want = db.execute(__spark_entry__.oracle_sql()["embedding_radius_graph"]).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and want

@@ -36,7 +36,7 @@ def near_pairs(ids: np.ndarray, other: np.ndarray, x: np.ndarray, y: np.ndarray,
                     u, v = p[k : k + (1 << 20)], q[k : k + (1 << 20)]
                     total = np.zeros(len(u))
                     for c in range(x.shape[1]):
-                        step = x[u, c] - y[v, c]
+                        step = np.subtract(x[u, c], y[v, c], dtype=np.float64)  # single precision would round the difference
                         total += step * step
                     keep = (np.sqrt(total) <= r) & (ids[u] != other[v])
                     u, v = ids[u[keep]], other[v[keep]]
@@ -66,11 +66,11 @@ def _meet(r: float):
 
 def radius_pairs(rows: DataFrame, r: float, most: int = ROWS) -> DataFrame:
     """Pairs src < dst of rows (id, e) at most ``r`` apart (Euclidean).  Rows without a vector, or with a null in
-    it, have no partners, nor have vectors of different lengths.
+    it, have no partners, nor have vectors of different lengths; vectors of no length are 0 apart.
 
     Each row is sent once for every block, rows / ``most`` times.
     """
-    rows = rows.where("id is not null and size(e) > 0").where(F.forall("e", lambda v: v.isNotNull()))
+    rows = rows.where("id is not null and e is not null").where(F.forall("e", lambda v: v.isNotNull()))
     n, parallel = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
     blocks = max(-(-n // most), min(math.isqrt(4 * parallel) + 1, n // LEAST + 1))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
