@@ -57,13 +57,13 @@ def _by(orient: str, most: int, total: int) -> str:
     return orient if orient != "auto" else "id" if most**2 <= 2 * total else "degree"
 
 
-def _total(counts: DataFrame) -> DataFrame:
+def summed(counts: DataFrame) -> DataFrame:
     return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("triangles"))
 
 
 def count_by_arrays(edges: DataFrame, orient: str = "auto") -> DataFrame:
     """Lists of both ends of an edge are intersected: by rows of bits in a dense cell, else each id is looked up."""
-    return _total(_looked_up(edges, orient, method="array"))
+    return summed(_looked_up(edges, orient, method="array"))
 
 
 def count_by_lists(lists: DataFrame, orient: str = "auto") -> DataFrame:
@@ -72,7 +72,7 @@ def count_by_lists(lists: DataFrame, orient: str = "auto") -> DataFrame:
     lists = lists.where(F.size("out") > 0)
     cuts, most, total, top = shape_by_degree(lists.select(F.col("u").alias("src"), F.size("out").cast("long").alias("d")))
     heads = None if _by(orient, most, total) == "id" else adjacency(lists.select(F.col("u").alias("src"), F.explode("out").alias("dst")), "degree")
-    return _total(look_up(heads, lists, cuts, method="array", top=top))
+    return summed(look_up(heads, lists, cuts, method="array", top=top))
 
 
 def count_by_arcs(arcs: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def count_by_arcs(arcs: DataFrame) -> DataFrame:
         return count_by_arrays(arcs)
     closing = arcs.where("src < dst")
     cuts, _, _, top = shape(closing)
-    return _total(look_up(adjacency(arcs, "id"), adjacency(closing, "id"), cuts, method="array", top=top))
+    return summed(look_up(adjacency(arcs, "id"), adjacency(closing, "id"), cuts, method="array", top=top))
 
 
 def triangles(edges: DataFrame, orient: str = "auto") -> DataFrame:
@@ -101,13 +101,13 @@ def count_by_joins(edges: DataFrame, orient: str = "auto", hint: str | None = No
     """Wedges joined with the edges that close them, in cells of these edges; with a ``hint``, by that
     physical join, which shuffles the wedges unless it is a broadcast."""
     if not hint:
-        return _total(_looked_up(edges, orient))
+        return summed(_looked_up(edges, orient))
     closing = edges.select("src", "dst")
     return _count(_ordered_wedges(edges, orient).join(closing.hint(hint), ["src", "dst"], "left_semi"))
 
 
 def count_by_hash(edges: DataFrame, orient: str = "auto") -> DataFrame:
-    return _total(_looked_up(edges, orient, method="hash"))
+    return summed(_looked_up(edges, orient, method="hash"))
 
 
 def count_by_broadcast(edges: DataFrame, orient: str = "auto", limit: int | None = None) -> DataFrame:
@@ -119,12 +119,12 @@ def count_by_broadcast(edges: DataFrame, orient: str = "auto", limit: int | None
 
 def count_by_multiplicity(edges: DataFrame, orient: str = "auto") -> DataFrame:
     """Equal wedge ends of a batch are counted first, then checked once."""
-    return _total(_looked_up(edges, orient, group=True))
+    return summed(_looked_up(edges, orient, group=True))
 
 
 def count_pruned(edges: DataFrame) -> DataFrame:
     """Ordered wedges whose greater end lies within the lesser one's neighbours, then checked."""
-    return _total(_looked_up(edges, "id", method="hash", prune=True))
+    return summed(_looked_up(edges, "id", method="hash", prune=True))
 
 
 def count_raw(symmetric: DataFrame) -> DataFrame:
@@ -152,12 +152,12 @@ def bloom_shape(n: int, tolerance: float = TOLERANCE) -> tuple[int, int]:
 
 def count_by_bloom(edges: DataFrame, orient: str = "auto", tolerance: float = TOLERANCE) -> DataFrame:
     """APPROXIMATE: wedges that a Bloom filter of each cell's edges admits, never fewer than the triangles."""
-    return _total(_looked_up(edges, orient, method="bloom", shape_of=partial(bloom_shape, tolerance=tolerance)))
+    return summed(_looked_up(edges, orient, method="bloom", shape_of=partial(bloom_shape, tolerance=tolerance)))
 
 
 def count_by_bloom_verified(edges: DataFrame, orient: str = "auto", tolerance: float = TOLERANCE) -> DataFrame:
     """Exact: wedges that the Bloom filter admits, looked up among the edges."""
-    return _total(_looked_up(edges, orient, method="verified", shape_of=partial(bloom_shape, tolerance=tolerance)))
+    return summed(_looked_up(edges, orient, method="verified", shape_of=partial(bloom_shape, tolerance=tolerance)))
 
 
 STRATEGIES = {

@@ -14,6 +14,7 @@ from wedgeworks.operators import stats as S
 from wedgeworks.operators import wedges as W
 from wedgeworks.oracles import ORACLES
 from wedgeworks.plans import triangles as T
+from wedgeworks.plans.alike import count_by_groups
 from wedgeworks.sources import csr, derived, geometric
 
 #: Parts of the ownership queries; points of the geometric ones; radius of the embedding graph.
@@ -125,6 +126,13 @@ def embedding_radius_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometric.embedding_edges(derived.table(spark, sf_dir, "embeddings"), EMBEDDING_RADIUS)
 
 
+def triangle_count_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An hour's users are many: from the hours, or where these are small from lists of neighbours."""
+    rows, group = derived.user_hour(spark, sf_dir)
+    counts = count_by_groups(rows, group, "user_id")
+    return T.count_by_lists(derived.neighbour_lists(rows, group, "user_id")) if counts is None else T.summed(counts)
+
+
 def csr_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as a file, read back in slices of near-equal entries."""
     path = _work_path(spark, "graph") + ".bin"
@@ -145,7 +153,7 @@ QUERIES: dict = {
     "triangle_count_bloom_verified": _counting("bloom_verified"),
     "triangle_count_suppliers": _on_graph(derived.supp_coorder, T.count_by_arrays),
     "triangle_count_bipartite": _on_graph(derived.part_supp, T.count_by_arcs),
-    "triangle_count_users": _on_graph(derived.user_hour, T.count_by_lists),
+    "triangle_count_users": triangle_count_users,
     "closing_edges_distinct": _on_graph(_edges, T.closing_edges),
     "wedge_count": _on_graph(_sym, W.wedge_count),
     "wedge_pruned_count": _on_graph(_sym, W.pruned_wedge_count),

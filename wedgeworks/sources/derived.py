@@ -53,7 +53,7 @@ def part_supp(spark: SparkSession, sf_dir: str, shift: int = 10_000_000) -> Data
     return table(spark, sf_dir, "lineitem").select(part.alias("src"), (supplier + F.lit(shift)).alias("dst")).dropna().distinct()
 
 
-def user_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As lists: an hour's users are many."""
+def user_hour(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Users by kind and hour of their events, and the columns that group them."""
     rows = table(spark, sf_dir, "events").select("event_type", F.date_trunc("hour", "ts").alias("hour"), "user_id")
-    return neighbour_lists(rows, ["event_type", "hour"], "user_id")
+    return rows, ["event_type", "hour"]
